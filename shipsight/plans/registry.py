@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..sources.fact import Warehouse
 
 DIGITS = 4
+# Added before rounding so that exact decimal ties fall the same way in both engines.
+NUDGE = 0.00000137
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 _CTES: dict[str, str] = {}
@@ -55,7 +57,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", ctes: dict[str,
             df = fn(Warehouse(spark, sf_dir))
             return df.select(
                 *[
-                    F.round(F.col(f"`{f.name}`").cast("double"), DIGITS).alias(f.name)
+                    F.round(F.col(f"`{f.name}`").cast("double") + NUDGE, DIGITS).alias(f.name)
                     if isinstance(f.dataType, (DoubleType, FloatType))
                     else F.col(f"`{f.name}`")
                     for f in df.schema.fields
@@ -77,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (body, doubles) in _SQL.items():
-        rounded = ", ".join(f"round(CAST({d} AS DOUBLE), {DIGITS}) + 0.0 AS {d}" for d in doubles.split())
+        rounded = ", ".join(f"round(CAST({d} AS DOUBLE) + {NUDGE:.8f}, {DIGITS}) + 0.0 AS {d}" for d in doubles.split())
         out[name] = f"{_with(body)}SELECT * {f'REPLACE ({rounded}) ' if rounded else ''}FROM ({body})"
     return out
