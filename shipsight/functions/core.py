@@ -111,3 +111,22 @@ def newest_first(keys, idx="month_idx", name="_r"):
 def scalar_int(df: DataFrame, expr: Column) -> int:
     """One aggregate value brought to the driver (a single row, whatever the input size)."""
     return df.agg(expr.alias("v")).first()["v"]
+
+
+def mean_if(cond: Column, value) -> Column:
+    """Mean of an exact (decimal) column over rows meeting cond; sums first, so row order cannot matter."""
+    v = F.when(cond, c(value))
+    return div(F.sum(v), F.count(v))
+
+
+def mean(value) -> Column:
+    return div(F.sum(c(value)), F.count(c(value)))
+
+
+def total_if(cond: Column, value) -> Column:
+    """Conditional sum as DOUBLE, 0 when no row qualifies."""
+    return F.coalesce(dbl(F.sum(F.when(cond, c(value)))), F.lit(0.0))
+
+
+def left_join_all(base: DataFrame, frames, on) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, on, "left"), frames, base)

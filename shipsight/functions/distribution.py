@@ -51,7 +51,11 @@ def running(
         )
         .scalar()
     )
-    ranged = base.withColumn("_rng", F.size(F.filter(cuts, lambda x: x < pos)))
+    ranged = (
+        base.withColumn("_cuts", cuts)
+        .withColumn("_rng", F.size(F.filter("_cuts", lambda x: x < pos)))
+        .drop("_cuts")
+    )
     totals = ranged.groupBy(*keys, "_rng").agg(*[F.sum(f"{n}_w").alias(f"{n}_rw") for n in weights])
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = per_key.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
