@@ -50,14 +50,11 @@ def buckets(x, steps, default) -> Column:
 
 def cases(*pairs, default=None) -> Column:
     """Ordered rule chain: first true condition wins."""
-    expr = reduce(
-        lambda acc, p: F.when(p[0], c(p[1]) if isinstance(p[1], Column) else F.lit(p[1]))
-        if acc is None
-        else acc.when(p[0], p[1] if isinstance(p[1], Column) else F.lit(p[1])),
-        pairs,
-        None,
-    )
-    return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    chain = F.when(pairs[0][0], lit(pairs[0][1]))
+    for cond, value in pairs[1:]:
+        chain = chain.when(cond, lit(value))
+    return chain.otherwise(lit(default))
 
 
 def within(latest: int, months: int, skip: int = 0, idx="month_idx") -> Column:

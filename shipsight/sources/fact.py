@@ -121,3 +121,25 @@ class Warehouse:
         return silver.customer_attributes(
             self.fact("customer_id", "ship_date", "order_id", "line_no", *want), want
         )
+
+    def portrait_months(self) -> DataFrame:
+        from ..operators import product
+
+        return product.product_month(
+            self.fact("product_id", "month_idx", "is_new", "category", "product_line", "qty", "revenue", "cost", "profit")
+        )
+
+    def customer_product_revenue(self) -> DataFrame:
+        return (
+            self.fact("product_id", "customer_id", "month_idx", "revenue")
+            .groupBy("product_id", "customer_id", "month_idx")
+            .agg(F.sum("revenue").alias("revenue"))
+        )
+
+    def product_portrait(self, offsets=(0,)) -> DataFrame:
+        """Scored product portraits at `latest - n` for each offset."""
+        from ..operators import product
+
+        return product.product_portrait(
+            self.portrait_months(), self.customer_product_revenue(), [self.latest - n for n in offsets]
+        )
