@@ -1,9 +1,11 @@
 """Exact order statistics that never put one key's rows into one task.
 
-Running sums, ranks and quantiles need an order inside each key. A plain window would sort a whole key in
-one task, and `percentile` would hold it in one buffer. `running` instead cuts the (key, value) order into
-ranges at splitters taken from a hash-chosen sample, sorts each range on its own and adds the totals of the
-ranges before it. The sample depends only on the data, so a recomputed task finds the same splitters.
+Running sums, ranks and quantiles need an order inside each key. A plain window would sort a whole key in one
+task, and `percentile` would hold it in one buffer. Here the input is first collapsed to distinct (key, value)
+rows and written once. Small inputs (a checked row count) use a plain window. Larger ones are cut along the
+(key, value) order into ranges at splitters taken from a hash-chosen sample; each range is sorted on its own and
+the totals of the ranges before it are added. The sample depends only on the data, so a recomputed task finds
+the same splitters.
 """
 
 from __future__ import annotations
@@ -12,32 +14,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import c, cases, dbl
+from .settle import settle
 
 RANGES = 64
 SPLIT_OVER = 200_000
 
 
-def running(
-    df: DataFrame,
-    keys,
-    order,
-    weights: dict[str, Column | str],
-    ranges: int = RANGES,
-    split_over: int = SPLIT_OVER,
-) -> DataFrame:
-    """Add `<name>_before` (sum over earlier rows of the key) and `<name>_total` for each weight.
+def _plain(df: DataFrame, keys, order, weights) -> DataFrame:
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(
+        "*",
+        *[F.coalesce(F.sum(c(w)).over(before), F.lit(0)).alias(f"{n}_before") for n, w in weights.items()],
+        *[F.sum(c(w)).over(part).alias(f"{n}_total") for n, w in weights.items()],
+    )
 
-    `order` lists ascending columns; (keys, order) must be unique. Inputs up to `split_over` rows stay in
-    one range per key, larger ones use `ranges` ranges over the whole order.
-    """
-    keys, order = list(keys), list(order)
+
+def _ranged(df: DataFrame, keys, order, weights, n_rows: int, ranges: int) -> DataFrame:
     pos = F.struct(*[F.col(k) for k in keys + order])
-    base = df.select("*", *[c(w).alias(f"{n}_w") for n, w in weights.items()])
-    total = df.agg(F.count("*").alias("n")).scalar()
-    step = F.greatest(F.lit(1), F.floor(total / F.lit(ranges * 64)))
-    sample = df.select(pos.alias("p")).filter(
-        (total > split_over) & (F.pmod(F.xxhash64(*[F.col(k) for k in keys + order]), step) == 0)
-    )
+    step = max(1, n_rows // (ranges * 64))
+    sample = df.select(pos.alias("p")).filter(F.pmod(F.xxhash64(*[F.col(k) for k in keys + order]), F.lit(step)) == 0)
+    # About 64 sampled positions per range, whatever the input size.
     cuts = (
         sample.agg(F.array_sort(F.collect_list("p")).alias("s"))
         .select(
@@ -51,12 +48,13 @@ def running(
         )
         .scalar()
     )
-    ranged = (
-        base.withColumn("_cuts", cuts)
+    placed = (
+        df.select("*", *[c(w).alias(f"{n}_w") for n, w in weights.items()])
+        .withColumn("_cuts", cuts)
         .withColumn("_rng", F.size(F.filter("_cuts", lambda x: x < pos)))
         .drop("_cuts")
     )
-    totals = ranged.groupBy(*keys, "_rng").agg(*[F.sum(f"{n}_w").alias(f"{n}_rw") for n in weights])
+    totals = placed.groupBy(*keys, "_rng").agg(*[F.sum(f"{n}_w").alias(f"{n}_rw") for n in weights])
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = per_key.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -65,87 +63,105 @@ def running(
         *[F.coalesce(F.sum(f"{n}_rw").over(earlier), F.lit(0)).alias(f"{n}_off") for n in weights],
         *[F.sum(f"{n}_rw").over(per_key).alias(f"{n}_total") for n in weights],
     )
-    inside = (
-        Window.partitionBy("_rng", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = ranged.select(
+    inside = Window.partitionBy("_rng", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = placed.select(
         "*", *[F.coalesce(F.sum(f"{n}_w").over(inside), F.lit(0)).alias(f"{n}_in") for n in weights]
     ).join(offsets, [*keys, "_rng"])
-    return placed.select(
+    return ordered.select(
         *df.columns,
         *[(F.col(f"{n}_in") + F.col(f"{n}_off")).alias(f"{n}_before") for n in weights],
         *[f"{n}_total" for n in weights],
     )
 
 
+def running(
+    df: DataFrame, keys, order, weights: dict[str, Column | str], ranges: int = RANGES, split_over: int = SPLIT_OVER
+) -> DataFrame:
+    """Add `<name>_before` (sum over earlier rows of the key) and `<name>_total` for each weight.
+
+    `order` lists ascending columns; (keys, order) must be unique. The input is written once (see `settle`).
+    """
+    keys, order = list(keys), list(order)
+    df = settle(df)
+    n = df.count()
+    if n <= split_over:
+        return _plain(df, keys, order, weights)
+    return _ranged(df, keys, order, weights, n, ranges)
+
+
+def _edge(name: str, p: float, before: str, count: str, total: str, value: str):
+    """Aggregates for one linear-interpolated quantile over (value, count) rows."""
+    at = F.lit(float(p)) * (F.col(total) - 1)
+    lo, hi = F.floor(at), F.ceil(at)
+    end = F.col(before) + F.col(count)
+    return [
+        F.max(F.when((F.col(before) <= lo) & (lo < end), dbl(value))).alias(f"{name}_lo"),
+        F.max(F.when((F.col(before) <= hi) & (hi < end), dbl(value))).alias(f"{name}_hi"),
+        F.max(at - lo).alias(f"{name}_f"),
+    ]
+
+
+def _point(name: str):
+    return (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_f")).alias(name)
+
+
+def histogram(df: DataFrame, keys, value) -> DataFrame:
+    return (
+        df.select(*keys, c(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    )
+
+
 def quantiles(df: DataFrame, keys, value, probs: dict[str, float], count_as: str | None = None, **kw) -> DataFrame:
     """Linear-interpolated quantiles per key, one row per key with a column per entry of `probs`."""
     keys = list(keys)
-    hist = (
-        df.select(*keys, c(value).alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    r = running(hist, keys, ["_v"], {"w": "_n"}, **kw)
-    n1 = F.col("w_total") - 1
-    aggs = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * n1
-        lo, hi = F.floor(at), F.ceil(at)
-        end = F.col("w_before") + F.col("_n")
-        aggs += [
-            F.max(F.when((F.col("w_before") <= lo) & (lo < end), dbl("_v"))).alias(f"{name}_lo"),
-            F.max(F.when((F.col("w_before") <= hi) & (hi < end), dbl("_v"))).alias(f"{name}_hi"),
-            F.max(at - lo).alias(f"{name}_f"),
-        ]
+    r = running(histogram(df, keys, value), keys, ["_v"], {"w": "_n"}, **kw)
+    aggs = [a for name, p in probs.items() for a in _edge(name, p, "w_before", "_n", "w_total", "_v")]
     out = r.groupBy(*keys).agg(*aggs, F.max("w_total").alias("_cnt"))
-    cols = [
-        (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")).alias(n) for n in probs
-    ]
-    return out.select(*keys, *cols, *([F.col("_cnt").alias(count_as)] if count_as else []))
+    return out.select(*keys, *[_point(n) for n in probs], *([F.col("_cnt").alias(count_as)] if count_as else []))
 
 
 def pct_rank(df: DataFrame, keys, value: str, out: str, **kw) -> DataFrame:
     """Average rank / count per key (ties share the mean rank); NULL values get NULL."""
     keys = list(keys)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    r = running(hist, keys, [value], {"w": "_n"}, **kw).select(
+    r = running(histogram(df, keys, value), keys, ["_v"], {"w": "_n"}, **kw).select(
         *keys,
-        value,
+        F.col("_v").alias(value),
         ((F.col("w_before") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("w_total")).alias(out),
     )
     return df.join(r, [*keys, value], "left")
 
 
-def dense_position(df: DataFrame, keys, value: str, out: str, **kw) -> DataFrame:
-    """Dense rank (ascending) per key."""
-    keys = list(keys)
-    vals = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    r = running(vals, keys, [value], {"w": F.lit(1)}, **kw).select(
-        *keys, value, (F.col("w_before") + 1).alias(out)
-    )
-    return df.join(r, [*keys, value], "left")
-
+def equal_depth(
+    df: DataFrame, keys, value: str, out: str, n: int = 5, ascending: bool = True, dense: bool = True, **kw
+) -> DataFrame:
+    """Score 1..n by equal-depth bins of the value's dense rank (or the value itself).
 
-def equal_depth(df: DataFrame, keys, value: str, out: str, n: int = 5, ascending: bool = True, **kw) -> DataFrame:
-    """Score 1..n by equal-depth bins of the dense rank; the middle score when bin edges collapse."""
+    Bin edges are linear-interpolated quantiles, closed on the right. The middle score is given when edges
+    coincide and to missing values. `ascending` means larger values score higher.
+    """
     keys = list(keys)
-    ranked = dense_position(df, keys, value, "_dr", **kw)
+    r = running(histogram(df, keys, value), keys, ["_v"], {"d": F.lit(1), "w": "_n"}, **kw)
+    r = r.withColumn("_x", dbl(F.col("d_before") + 1) if dense else dbl("_v"))
     names = {f"_e{i}": i / n for i in range(n + 1)}
-    edges = quantiles(ranked, keys, "_dr", names, **kw)
-    joined = ranked.join(edges, keys, "left") if keys else ranked.join(edges, F.lit(True), "left")
+    aggs = [a for name, p in names.items() for a in _edge(name, p, "w_before", "_n", "w_total", "_x")]
+    edges = r.groupBy(*keys).agg(*aggs).select(*keys, *[_point(e) for e in names])
+    if keys:
+        joined = r.join(edges, keys)
+    else:
+        joined = r.withColumn("_e", one_row(edges)).select("*", *[F.col(f"_e.{e}").alias(e) for e in names])
     distinct = F.lit(True)
     for i in range(n):
         distinct = distinct & (F.col(f"_e{i}") < F.col(f"_e{i + 1}"))
-    label = [(F.col("_dr") <= F.col(f"_e{i}"), i if ascending else n + 1 - i) for i in range(1, n)]
-    score = cases(
-        (F.col("_dr").isNull(), (n + 1) // 2),
-        (~distinct, (n + 1) // 2),
-        *label,
-        default=n if ascending else 1,
-    )
-    return joined.withColumn(out, score.cast("int")).drop("_dr", *names)
+    middle = (n + 1) // 2
+    label = [(F.col("_x") <= F.col(f"_e{i}"), i if ascending else n + 1 - i) for i in range(1, n)]
+    score = cases((~F.coalesce(distinct, F.lit(False)), middle), *label, default=n if ascending else 1)
+    scored = joined.select(*keys, F.col("_v").alias(value), score.cast("int").alias(out))
+    return df.join(scored, [*keys, value], "left").na.fill(middle, [out])
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct-valued scalar subquery."""
+    return df.select(F.struct(*df.columns).alias("s")).scalar()
 
 
 def minmax_score(value, lo: Column, hi: Column, reverse: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c, cases, clip, count_if, dbl, div, mean, sum_if, top_k, total_if, within
 from ..functions.distribution import pct_rank, quantiles
+from ..functions.settle import settle
 
 BANDS = ("low", "mid", "high")
 
@@ -169,7 +170,7 @@ def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int =
         *[F.sum(x).alias(x) for x in ("revenue", "qty", "profit")]
     ).filter(F.col("qty") > 0)
     cp = cp.withColumn("price", div("revenue", "qty")).join(customers, "customer_id", "left")
-    cp = cp.withColumn("channel", F.coalesce("channel", F.lit("unknown")))
+    cp = settle(cp.withColumn("channel", F.coalesce("channel", F.lit("unknown"))))
     keys = ["product_id", "channel"]
     stats = cp.groupBy(*keys).agg(
         F.sum("revenue").alias("_pr"), F.count("*").alias("peers"), F.avg("price").alias("mean_price"),
@@ -180,7 +181,7 @@ def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int =
     r = cp.join(stats, keys).join(q, keys).join(own, "customer_id")
     part = lambda t: F.when(F.col(t) > 0, div("revenue", t)).otherwise(0.0)
     r = r.withColumn("concentration", F.greatest(part("_pr"), part("_cr")))
-    r = pct_rank(r, [], "concentration", "_cp").withColumn("concentration_pct", F.col("_cp") * 100)
+    r = pct_rank(settle(r), [], "concentration", "_cp").withColumn("concentration_pct", F.col("_cp") * 100)
     tier_pts = cases(*[(F.col("tier") == t, float(p)) for t, p in TIER_POINTS.items()], default=25.0)
     volume = tier_pts
     if "pareto" in customers.columns:
@@ -200,10 +201,11 @@ def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int =
         F.concat(F.lit("gap="), F.round(F.col("gap_pct") + 0.00000137, 0).cast("bigint").cast("string"), F.lit("%")),
         F.concat(F.lit("dearest="), F.col("max_customer").cast("string")),
     )
-    any_flag = r.filter("low_price_anomaly").agg(F.count("*").alias("n")).scalar()
+    r = settle(r)
     cheap = r.filter("low_price_anomaly")
-    lowest = r.orderBy("fairness", "customer_id", "product_id").limit(fallback).filter(any_flag == 0)
-    return cheap.unionByName(lowest).withColumn("note", note)
+    if cheap.isEmpty():
+        cheap = r.orderBy("fairness", "customer_id", "product_id").limit(fallback)
+    return cheap.withColumn("note", note)
 
 
 def markup_opportunity(cpm: DataFrame, ratio: float = 0.9, min_months: int = 6, max_share: float = 0.3) -> DataFrame:

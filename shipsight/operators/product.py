@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import cases, clip, count_if, dbl, div, top_k, total_if
+from ..functions.settle import settle
 
 KEYS = ["product_id", "as_of"]
 
@@ -374,7 +375,7 @@ def old_asp(asp, margin):
 
 def profile(pm: DataFrame, cpm: DataFrame, cutoffs, min_age: int = 3, bulk_qty: float = 6000) -> DataFrame:
     """All metrics of every product old enough at each cut-off, with its branch: zombie, new or normal."""
-    rows = at_cutoffs(pm, cutoffs)
+    rows = at_cutoffs(settle(pm), cutoffs)
     info = product_info(rows, bulk_qty).filter(F.col("age") >= min_age)
     a = info.join(window_aggregates(rows), KEYS)
     a = growth_decay(margins(growth_window(a)))
@@ -509,7 +510,7 @@ def notes():
 
 
 def product_portrait(pm: DataFrame, cpm: DataFrame, cutoffs, **kw) -> DataFrame:
-    return score(reference_groups(profile(pm, cpm, cutoffs, **kw)))
+    return score(settle(reference_groups(settle(profile(pm, cpm, cutoffs, **kw)))))
 
 
 def wide_history(history: DataFrame, latest: int, columns, offsets) -> DataFrame:

@@ -247,7 +247,7 @@ def _a38(w):
 
 @query("a39_customer_portrait", _ALL + "portrait", PORTRAIT)
 def _a39(w):
-    return ops.portrait(w, pricing)
+    return ops.portrait(w.stored, pricing)
 
 
 @query(

@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import idx_to_month, month_idx, scalar_int
+from ..functions.core import month_idx, scalar_int
+from ..functions.settle import settle
 from ..operators import silver
 
 TIER_LIMITS = ((9000, "KA"), (7500, "AA"), (4500, "KM"))
@@ -96,6 +97,11 @@ class Warehouse:
 
         return date(i // 12, i % 12 + 1, 1)
 
+    @cached_property
+    def stored(self) -> "Warehouse":
+        """The same views over monthly tables written once, for operators that read them many times."""
+        return StoredWarehouse(self.spark, self.folder)
+
     def fact(self, *cols: str, months: int | None = None) -> DataFrame:
         return sales_fact(self.spark, self.folder, cols, self.since(months) if months else None)
 
@@ -143,3 +149,66 @@ class Warehouse:
         return product.product_portrait(
             self.portrait_months(), self.customer_product_revenue(), [self.latest - n for n in offsets]
         )
+
+    def scored_portrait(self) -> DataFrame:
+        from ..operators import scoring
+
+        return scoring.scored_portrait(self.stored)
+
+
+class StoredWarehouse(Warehouse):
+    """Warehouse whose monthly tables and customer attributes are settled on first use."""
+
+    @cached_property
+    def _cm(self) -> DataFrame:
+        return settle(super().customer_month())
+
+    @cached_property
+    def _pm(self) -> DataFrame:
+        return settle(super().product_month(line=True))
+
+    @cached_property
+    def _cpm(self) -> DataFrame:
+        return settle(super().customer_product_month(extra=("product_line", "category")))
+
+    @cached_property
+    def _cust(self) -> DataFrame:
+        return settle(super().customers())
+
+    @cached_property
+    def _portrait(self) -> DataFrame:
+        from ..operators import customer, pricing
+
+        return settle(customer.portrait(self, pricing))
+
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return settle(super().scored_portrait())
+
+    @cached_property
+    def _products(self) -> DataFrame:
+        return settle(super().product_portrait())
+
+    def _recent(self, df: DataFrame, months: int | None) -> DataFrame:
+        return df.filter(F.col("month_idx") > self.latest - months) if months else df
+
+    def customer_month(self, months: int | None = None) -> DataFrame:
+        return self._recent(self._cm, months)
+
+    def product_month(self, months: int | None = None, line: bool = True) -> DataFrame:
+        return self._recent(self._pm, months)
+
+    def customer_product_month(self, months: int | None = None, extra=()) -> DataFrame:
+        return self._recent(self._cpm, months)
+
+    def customers(self, *attrs: str) -> DataFrame:
+        return self._cust.select("customer_id", *attrs) if attrs else self._cust
+
+    def portrait(self) -> DataFrame:
+        return self._portrait
+
+    def scored_portrait(self) -> DataFrame:
+        return self._scored
+
+    def product_portrait(self, offsets=(0,)) -> DataFrame:
+        return self._products if tuple(offsets) == (0,) else super().product_portrait(offsets)

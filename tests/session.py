@@ -6,7 +6,7 @@ def make_session(cores: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("shipsight")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
