@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="shipsight-")
-    return _LOCAL[app]
+        _LOCAL[app] = tempfile.TemporaryDirectory(prefix="shipsight-", ignore_cleanup_errors=True)
+    return _LOCAL[app].name
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def resolve(df: DataFrame, col: str = "address", extra_places: dict | None = Non
     """(region, sub, abroad) of each distinct address by the first rule that fits."""
     a = F.regexp_replace(F.trim(F.col(col)), r"^(收货地址|送货地址|地址|中国)[:：\s]*", "")
     up = F.upper(a)
-    junk = a.isNull() | (F.length(a) < 2) | a.rlike(r"^[\d\W_]+$")
+    junk = a.isNull() | (F.length(a) < 2) | a.rlike(r"^[\d\p{Punct}\s]+$")
     places = extra_places or {}
     prov = "|".join(PROVINCES)
     in_prov = F.regexp_extract(a, f"({prov})", 1)
