@@ -17,7 +17,7 @@ from .core import c, cases, dbl
 from .settle import settle
 
 RANGES = 64
-SPLIT_OVER = 200_000
+SPLIT_OVER = 2_000_000
 
 
 def _plain(df: DataFrame, keys, order, weights) -> DataFrame:

@@ -170,3 +170,20 @@ def _s05(w):
 def _s09(w):
     io, _ = _io(w)
     return io.map_fields(w.fact("customer_id", "revenue").withColumn("revenue", dbl("revenue")), {"revenue": "amount"}, critical=["customer_id", "amount"], optional=["agent"])
+
+
+@query("s06_inventory_load", "SELECT p_brand AS material_id, CAST(sum(p_size) AS DOUBLE) AS under_180d, 0.0 AS d180_to_1y, CAST(sum(p_size) AS DOUBLE) AS over_1y FROM part GROUP BY 1", "under_180d d180_to_1y over_1y")
+def _s06(w):
+    from ..sources.fact import table
+
+    io, _ = _io(w)
+    raw = table(w.spark, w.folder, "part").groupBy(F.concat(F.lit(" "), "p_brand").alias("material_id")).agg(F.sum("p_size").cast("string").alias("0-180"), F.sum("p_size").cast("string").alias(">365"))
+    return io.inventory_aging(raw)
+
+
+@query("s07_bom_load", "SELECT DISTINCT p_brand AS material_id, p_type AS product_id FROM part")
+def _s07(w):
+    from ..sources.fact import table
+
+    io, _ = _io(w)
+    return io.bom(table(w.spark, w.folder, "part").withColumn("p_type", F.concat("p_type", F.lit(" "))), "p_brand", "p_type")

@@ -281,3 +281,56 @@ def _f29(w):
     x = VectorAssembler(inputCols=["active_quarters", "revenue", "recent"], outputCol="raw").transform(s)
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
     return KMeans(k=4, seed=42, maxIter=20).fit(x).transform(x).select("customer_id", "active_quarters", "revenue", "recent", F.col("prediction").alias("cluster"))
+
+
+# --- further methods and studies ---
+query("f05_monthly_seasonal")(lambda w: _months(w).select("product_line", ops.monthly_seasonal(F.col("v")).alias("forecast")))
+query("f26_five_methods")(lambda w: ops.five_methods(_series(w).select("product_line", F.col("revenue").alias("v")), LINE))
+
+
+@query("f28_extended_methods")
+def _f28(w):
+    m = ops.extended_methods(F.col("revenue"))
+    return _series(w).select("product_line", *[e.alias(k) for k, e in m.items()])
+
+
+@query("f30_forecast_extras")
+def _f30(w):
+    from ..operators import pricing
+
+    f = w.fact("product_id", "month_idx", "qty", months=12)
+    qty = ops.monthly_series(f, ["product_id"], w.latest - 11, w.latest, value="qty")
+    return ops.forecast_extras(qty, ops.holiday_adjustment(_ratios(w), w.latest), pricing.price_elasticity(w.product_month(months=12)), pricing.order_frequency(w.fact("product_id", "month_idx", "order_id", months=12), "product_id", w.latest))
+
+
+def _leaf(w, *keys):
+    return ops.quarter_series(w.fact(*keys, "month_idx", "revenue", months=36), list(keys), w.latest, ("revenue",)).withColumnRenamed("revenue", "v")
+
+
+_PM = "SELECT product_line, product_id, unnest([" + ", ".join(f"'{n}'" for n, _, _ in _M) + "]) AS method, unnest([" + ", ".join(_pred(a, p, "12") for _, a, p in _M) + "]) AS prediction FROM (SELECT product_line, product_id, i, greatest(coalesce(revenue, 0), 0) AS y FROM (SELECT DISTINCT product_line, product_id FROM q_prod) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT product_line, product_id, bucket AS i, revenue FROM q_prod) USING (product_line, product_id, i)) GROUP BY 1, 2"
+query("f32_layer_predictions", f"SELECT product_line, method, sum(prediction) AS prediction, count(*) AS series FROM ({_PM}) GROUP BY 1, 2", "prediction")(lambda w: ops.layer_predictions(_leaf(w, "product_line", "product_id"), ["product_line", "product_id"], LINE))
+query("f36_residual_quantiles")(lambda w: ops.residual_quantiles(_leaf(w, "product_line"), LINE))
+query("f37_interval_coverage")(lambda w: ops.interval_coverage(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE))
+query("f40_window_choice", """WITH r AS (SELECT *, CAST(replace(method, 'mean_', '') AS INT) AS k FROM q_rows WHERE method IN ('mean_2','mean_3','mean_4','mean_6')), b AS (SELECT product_line, k, wape FROM (SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(wape, 10), k DESC) AS rn FROM (SELECT product_line, k, sum(abs_error)/greatest(sum(abs(actual)), 1e-9) AS wape FROM r GROUP BY 1, 2)) WHERE rn = 1),
+  f AS (SELECT product_line, fold, k AS fk FROM (SELECT *, row_number() OVER (PARTITION BY product_line, fold ORDER BY round(abs_error, 6), k DESC) AS rn FROM r) WHERE rn = 1) SELECT b.*, agreement, agreement >= 2/3 AS stable FROM b JOIN (SELECT product_line, CAST(count(*) FILTER (WHERE fk = k) AS DOUBLE)/count(*) AS agreement FROM f JOIN b USING (product_line) GROUP BY 1) USING (product_line)""", "wape agreement")(
+    lambda w: ops.window_choice(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE)
+)
+
+
+@query("f41_granularity")
+def _f41(w):
+    line = settle(_leaf(w, "product_line"))
+    return ops.granularity({"line": line, "product": _leaf(w, "product_line", "product_id"), "product_customer": _leaf(w, "product_line", "product_id", "customer_id")}, line)
+
+
+@query("b46_forecast_dataset")
+def _b46(w):
+    from pyspark.sql import Window
+
+    from ..functions.distribution import quantiles
+
+    m = settle(_company(w))
+    p = F.avg("revenue").over(Window.partitionBy(F.lit(0)).orderBy("month_idx").rowsBetween(-6, -1))
+    r = m.withColumn("p", p).filter((F.col("month_idx") > w.latest - 20) & (F.col("p") > 0)).select((F.col("revenue") / F.col("p")).alias("ratio"))
+    band = quantiles(r, [], "ratio", {"p10": 0.1, "p90": 0.9})
+    return ops.forecast_dataset(m, ops.company_forecast(m, _festival(w)), band, 36)

@@ -254,3 +254,37 @@ def _r62(w):
         ops.old_decay(F.col("decay_pp"), F.col("yoy_3m")).alias("old_decay"), ops.old_self_health(F.col("self_health")).alias("old_health"),
         ops.old_asp(F.col("asp_slope"), F.col("slope_ratio")).alias("old_asp"),
     )
+
+
+# --- single rules over the portrait --------------------------------------------------------------------------
+_pick("r07_momentum_class", "growth, momentum", "growth")
+_pick("r08_health_class", "self_health, relative_health_pp, health", "self_health relative_health_pp")
+_pick("r09_slope_class", "slope_ratio, slope_level", "slope_ratio")
+_pick("r11_contextual_strategy", "portrait, margin_yoy_pp, rev_profit, strategy", "margin_yoy_pp")
+_pick("r21_slope_score", "slope_ratio, s_slope", "slope_ratio")
+_pick("r22_decay_score", "decay_pp, yoy_3m, consecutive_falls, s_decay", "decay_pp yoy_3m")
+_pick("r23_health_score", "self_health, s_health", "self_health")
+_pick("r25_composite_risk", "s_slope, s_decay, s_health, risk_score, risk_level", "risk_score")
+
+
+def _order_change(w):
+    from ..operators import evaluate
+
+    return evaluate.customer_factors(w.customer_product_month(months=12), [w.latest]).select("product_id", "order_qty_change")
+
+
+_OC = f"""SELECT product_id, (q1/nullif(m1,0))/nullif(q0/nullif(m0,0),0) - 1 AS order_qty_change FROM (SELECT product_id, coalesce(CAST(sum(qty) FILTER (WHERE month_idx > {LM} - 6) AS DOUBLE), 0) AS q1, coalesce(CAST(sum(qty) FILTER (WHERE month_idx <= {LM} - 6) AS DOUBLE), 0) AS q0,
+  CAST(count(*) FILTER (WHERE month_idx > {LM} - 6) AS DOUBLE) AS m1, CAST(count(*) FILTER (WHERE month_idx <= {LM} - 6) AS DOUBLE) AS m0 FROM cpm WHERE month_idx > {LM} - 12 GROUP BY 1)"""
+_B6 = "CASE WHEN order_qty_change <= -0.5 THEN 95 WHEN order_qty_change <= -0.2 THEN 75 WHEN order_qty_change <= 0 THEN 50 ELSE 25 END"
+query("r24_order_size_score", f"SELECT product_id, order_qty_change, CASE WHEN order_qty_change IS NULL THEN 0 ELSE {_B6} END AS s_order FROM ({_OC})", "order_qty_change")(lambda w: _order_change(w).withColumn("s_order", ops.score_order_change(F.col("order_qty_change"))))
+query("r61_order_size_with_availability", f"SELECT product_id, order_qty_change, CASE WHEN order_qty_change IS NOT NULL THEN {_B6} ELSE 30 END AS s_order FROM ({_OC})", "order_qty_change")(
+    lambda w: _order_change(w).withColumn("s_order", ops.score_order_change_with_fallback(F.col("order_qty_change"), F.col("order_qty_change").isNotNull(), 30))
+)
+
+
+@query("r64_growth_of_means", f"SELECT product_id, {clip('CASE WHEN p > 0 THEN (coalesce(r, 0) - p)/p ELSE 0 END', -1.0, 5.0)} AS growth FROM (SELECT product_id, CAST(sum(qty) FILTER (WHERE month_idx > {LM} - 6) AS DOUBLE)/nullif(count(*) FILTER (WHERE month_idx > {LM} - 6), 0) AS r, CAST(sum(qty) FILTER (WHERE month_idx <= {LM} - 6 AND month_idx > {LM} - 12) AS DOUBLE)/nullif(count(*) FILTER (WHERE month_idx <= {LM} - 6 AND month_idx > {LM} - 12), 0) AS p FROM pm GROUP BY 1)", "growth")
+def _r64(w):
+    from ..functions.core import clip as clipped, mean_if, within
+
+    g = w.product_month().groupBy("product_id").agg(mean_if(within(w.latest, 6), "qty").alias("r"), mean_if(within(w.latest, 6, 6), "qty").alias("p"))
+    return g.select("product_id", clipped(F.when(F.col("p") > 0, (F.coalesce("r", F.lit(0.0)) - F.col("p")) / F.nullif(F.col("p"), F.lit(0.0))).otherwise(0.0), -1.0, 5.0).alias("growth"))

@@ -243,3 +243,9 @@ def _r01(w):
     m = m.withColumn("s", one_row(m.agg(F.min("revenue_12m").alias("lo"), F.max("revenue_12m").alias("hi"))))
     lo, hi = F.col("s.lo"), F.col("s.hi")
     return m.select("customer_id", minmax_score("revenue_12m", lo, hi).alias("score"), minmax_score("revenue_12m", lo, hi, True).alias("reversed"))
+
+
+query("r02_dimension_scores", "SELECT customer_id, value_score, growing_score, stability_score, potential_score, efficiency_score FROM sp1", "value_score growing_score stability_score potential_score efficiency_score")(
+    lambda w: w.scored_portrait().select("customer_id", "value_score", "growing_score", "stability_score", "potential_score", "efficiency_score")
+)
+query("r60_dual_axis", "SELECT customer_id, value_score, growing_score, dual_axis FROM sp", "value_score growing_score")(lambda w: w.scored_portrait().select("customer_id", "value_score", "growing_score", "dual_axis"))
