@@ -29,9 +29,17 @@ _AUC1 = _AUC.format(k="", p="", q="", src="ev", g="")
 _CONF = f"SELECT *, p AS precision, r AS recall, 2*p*r/nullif(p+r,0) AS f1, 5*p*r/nullif(4*p+r,0) AS f2, tn/nullif({d('tn')}+fp,0) AS specificity, {d('fp')}/(tp+fp+fn+tn)*1000 AS false_per_1000 FROM (SELECT *, {d('tp')}/nullif(tp+fp,0) AS p, {d('tp')}/nullif(tp+fn,0) AS r FROM (SELECT {cnt('risk_score > 55 AND label = 1')} AS tp, {cnt('risk_score > 55 AND label = 0')} AS fp, {cnt('risk_score <= 55 AND label = 1')} AS fn, {cnt('risk_score <= 55 AND label = 0')} AS tn FROM ev))"
 query("r55_classification_metrics", f"SELECT a.*, tp, fp, fn, tn, precision, recall, f1, f2, specificity, false_per_1000 FROM ({_AUC1}) a, ({_CONF})", "auc precision recall f1 f2 specificity false_per_1000")(lambda w: ops.classification_metrics(samples(w), "risk_score", 55.0))
 query("r55_level_rates", "SELECT risk_level, n, rate, coalesce(rate >= lag(rate) OVER (ORDER BY o), TRUE) AS monotone FROM (SELECT risk_level, count(*) AS n, avg(label) AS rate, CASE risk_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS o FROM ev GROUP BY 1)", "rate")(lambda w: ops.level_rates(samples(w), "risk_level", {"low": 0, "medium": 1, "high": 2, "very_high": 3}))
-query("r56_score_buckets")(lambda w: ops.score_buckets(samples(w), "order_cv"))
-query("r57_weight_grid")(lambda w: ops.grid_search(samples(w), ["s_slope", "s_decay", "s_health"], step=5))
-query("r58_threshold_search")(lambda w: ops.threshold_search(samples(w)))
+from .scoring import _qcut  # noqa: E402
+
+query("r56_score_buckets", "SELECT bucket, count(*) AS n, avg(label) AS rate, avg(order_cv) AS mean_value FROM (SELECT * FROM (SELECT product_id || '-' || as_of AS k, label, order_cv FROM ev WHERE order_cv IS NOT NULL) JOIN " + _qcut("(SELECT product_id || '-' || as_of AS k, order_cv FROM ev)", "k", "order_cv", None, True, False, "bucket") + " USING (k)) GROUP BY 1", "rate mean_value")(lambda w: ops.score_buckets(samples(w), "order_cv"))
+_GW = ops.weight_grid(3, 5)
+cte("x_grid", "SELECT CAST(unnest([" + ", ".join(str(i) for i in range(len(_GW))) + "]) AS INT) AS combo, " + ", ".join(f"CAST(unnest([{', '.join(str(g[j]) for g in _GW)}]) AS DOUBLE) AS w{j}" for j in range(3)))
+cte("x_gs", """SELECT combo, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, (sum(label*r) - sum(label)*(sum(label)+1)/2.0)/(sum(label)*(count(*)-sum(label))) AS auc, CAST(count(*) FILTER (WHERE score > 55 AND label = 1) AS DOUBLE)/nullif(count(*) FILTER (WHERE score > 55), 0) AS precision,
+  CAST(count(*) FILTER (WHERE score > 55 AND label = 1) AS DOUBLE)/nullif(count(*) FILTER (WHERE label = 1), 0) AS recall FROM (SELECT *, rank() OVER (PARTITION BY combo ORDER BY score) + (count(*) OVER (PARTITION BY combo, score) - 1)/2.0 AS r FROM (SELECT combo, w0, w1, w2, label, round(s_slope*w0 + s_decay*w1 + s_health*w2, 8) AS score FROM ev CROSS JOIN x_grid)) GROUP BY 1""")
+query("r57_weight_grid", "SELECT * FROM x_gs", "w0 w1 w2 auc precision recall")(lambda w: ops.grid_search(samples(w), ["s_slope", "s_decay", "s_health"], step=5))
+_LV = "CASE WHEN risk_score <= low THEN 0 WHEN risk_score <= mid THEN 1 WHEN risk_score <= high THEN 2 ELSE 3 END"
+query("r58_threshold_search", f"""SELECT low, mid, high, r0, r1, r2, r3, (r3 - r0)*0.6 + ((r1 >= r0)::INT + (r2 >= r1)::INT + (r3 >= r2)::INT)/3.0*0.4 AS objective FROM (SELECT low, mid, high, {', '.join(f'coalesce(avg(label) FILTER (WHERE lv = {k}), 0) AS r{k}' for k in range(4))} FROM (SELECT *, {_LV} AS lv FROM ev
+  CROSS JOIN (SELECT a.c AS low, b.c AS mid, e.c AS high FROM (SELECT CAST(unnest(range(30, 80, 10)) AS INT) AS c) a, (SELECT CAST(unnest(range(30, 80, 10)) AS INT) AS c) b, (SELECT CAST(unnest(range(30, 80, 10)) AS INT) AS c) e WHERE a.c < b.c AND b.c < e.c)) GROUP BY 1, 2, 3)""", "r0 r1 r2 r3 objective")(lambda w: ops.threshold_search(samples(w)))
 _FOLD = "(SELECT ev.*, CAST(floor(b*4.0/n) AS INT) AS fold FROM ev JOIN (SELECT as_of, row_number() OVER (ORDER BY as_of DESC) - 1 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT as_of FROM ev)) USING (as_of) WHERE floor(b*4.0/n) < 3)"
 query("r59_time_series_cv", _AUC.format(k="fold,", p="PARTITION BY fold", q="fold,", src=_FOLD, g="GROUP BY fold"), "auc")(lambda w: ops.time_series_cv(samples(w)))
 query("r67_coverage", f"SELECT *, {d('caught')}/nullif(declined,0) AS coverage FROM (SELECT {cnt('dd')} AS declined, {cnt('dd AND f')} AS caught FROM (SELECT product_id, bool_or(label = 1) AS dd, bool_or(risk_score > 55) AS f FROM ev GROUP BY 1))", "coverage")(lambda w: ops.coverage(samples(w), F.col("risk_score") > 55))
@@ -46,7 +54,7 @@ def _r69(w):
 
 
 query("r70_factor_hypothesis", "SELECT CASE WHEN order_cv >= 0.8 THEN 'high' ELSE 'low' END AS side, count(*) AS n, avg(label) AS rate FROM ev WHERE order_cv IS NOT NULL GROUP BY 1", "rate")(lambda w: ops.factor_hypothesis(samples(w), "order_cv", 0.8))
-query("k10_pareto_frontier")(lambda w: ops.pareto_frontier(ops.grid_search(samples(w), ["s_slope", "s_decay", "s_health"], step=5).na.fill(0.0), ["auc", "precision", "recall"], ["combo"]))
+query("k10_pareto_frontier", "WITH g AS (SELECT combo, coalesce(auc, 0) AS auc, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM x_gs) SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.auc >= a.auc AND b.precision >= a.precision AND b.recall >= a.recall AND (b.auc > a.auc OR b.precision > a.precision OR b.recall > a.recall))", "auc precision recall")(lambda w: ops.pareto_frontier(ops.grid_search(samples(w), ["s_slope", "s_decay", "s_health"], step=5).na.fill(0.0), ["auc", "precision", "recall"], ["combo"]))
 query("r54_customer_factors", f"""WITH c AS (SELECT CAST(unnest([{', '.join(f'{LM} - {k}' for k in (1, 4, 7))}]) AS INT) AS as_of), pc AS (SELECT product_id, as_of, customer_id, {tot('revenue', 'as_of - month_idx < 6')} AS r1, {tot('revenue', 'as_of - month_idx >= 6')} AS r0, {tot('qty', 'as_of - month_idx < 6')} AS q1, {tot('qty', 'as_of - month_idx >= 6')} AS q0, {cnt('as_of - month_idx < 6')} AS m1, {cnt('as_of - month_idx >= 6')} AS m0
   FROM cpm JOIN c ON month_idx <= as_of AND month_idx > as_of - 12 GROUP BY 1, 2, 3), g AS (SELECT product_id, as_of, max(r1) AS x1, sum(r1) AS t1, max(r0) AS x0, sum(r0) AS t0, {cnt('m1 > 0 AND m0 = 0')} AS gained, {cnt('m1 = 0 AND m0 > 0')} AS lost, stddev_samp(CASE WHEN q1 > 0 THEN r1/q1 END)/nullif(avg(CASE WHEN q1 > 0 THEN r1/q1 END),0) AS price_cv, sum(q1) AS q1, sum(q0) AS q0, {d('sum(m1)')} AS m1, {d('sum(m0)')} AS m0 FROM pc GROUP BY 1, 2)
   SELECT g.product_id, g.as_of, x1/nullif(t1,0) - x0/nullif(t0,0) AS concentration_change, top5_churn, gained - lost AS net_customers, price_cv, m1/nullif(m0,0) - 1 AS frequency_change, (q1/nullif(m1,0))/nullif(q0/nullif(m0,0),0) - 1 AS order_qty_change FROM g LEFT JOIN (SELECT product_id, as_of, {d(cnt('m1 = 0'))}/count(*) AS top5_churn FROM (SELECT *, row_number() OVER (PARTITION BY product_id, as_of ORDER BY r0 DESC, customer_id) AS rn FROM pc WHERE r0 > 0) WHERE rn <= 5 GROUP BY 1, 2) USING (product_id, as_of)""", "concentration_change top5_churn price_cv frequency_change order_qty_change")(

@@ -101,7 +101,9 @@ query("f10_locked_ranking", "SELECT l.product_line, coalesce(method, 'mean_4') A
 query("f14_fast_backtest", "SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(wape, 10), method) AS rank FROM (SELECT product_line, method, sum(abs(prediction-actual))/greatest(sum(abs(actual)), 1e-9) AS wape FROM q_btm WHERE measure = 'revenue' GROUP BY 1, 2)", "wape")(
     lambda w: ops.fast_backtest(_series(w).select("product_line", F.col("revenue").alias("v")), LINE)
 )
-query("f46_ensembles")(lambda w: ops.ensembles(settle(ops.backtest(settle(_series(w)), LINE)), LINE))
+query("f46_ensembles", """WITH r AS (SELECT * FROM q_btm WHERE measure = 'revenue'), v AS (SELECT * FROM (SELECT product_line, method, w, row_number() OVER (PARTITION BY product_line ORDER BY round(w, 10), method) AS rank FROM (SELECT product_line, method, sum(abs(prediction-actual))/greatest(sum(abs(actual)), 1e-9) AS w FROM r WHERE fold IN (6,7,8) GROUP BY 1, 2)) WHERE rank <= 8),
+  g AS (SELECT product_line, fold, max(actual) AS actual, avg(prediction) AS mean, sum(prediction/greatest(w, 1e-6))/sum(1/greatest(w, 1e-6)) AS inverse_error, sum(prediction/rank)/sum(1.0/rank) AS inverse_rank FROM r JOIN v USING (product_line, method) WHERE fold NOT IN (6,7,8) GROUP BY 1, 2)
+  SELECT product_line, ensemble, sum(abs(p-actual))/greatest(sum(abs(actual)), 1e-9) AS wape FROM (UNPIVOT g ON mean, inverse_error, inverse_rank INTO NAME ensemble VALUE p) GROUP BY 1, 2""", "wape")(lambda w: ops.ensembles(settle(ops.backtest(settle(_series(w)), LINE)), LINE))
 
 
 # --- monthly ---
@@ -246,8 +248,12 @@ def _reconciled(w):
     return ops.reconcile(leaf, hist, top), line.select("product_line", F.element_at("revenue", 12).alias("actual"))
 
 
-query("f42_reconciliation")(lambda w: _reconciled(w)[0])
-query("f43_best_reconciliation")(lambda w: ops.best_reconciliation(*_reconciled(w)))
+_RV = "avg(y*y) FILTER (WHERE i <= 11) - power(avg(y) FILTER (WHERE i <= 11), 2)"
+cte("q_rec", f"""SELECT product_line, bottom_up, h/sum(h) OVER ()*sum(own) OVER () AS top_down, bottom_up AS middle_out, own, own*(lv/nullif(lv+ov,0)) + bottom_up*(1 - lv/nullif(lv+ov,0)) AS least_squares, actual FROM (SELECT product_line, sum(f) AS bottom_up, sum(v) AS lv FROM (SELECT product_line, product_id, avg(y) FILTER (WHERE i BETWEEN 8 AND 11) AS f, {_RV} AS v FROM (
+    SELECT product_line, product_id, i, coalesce(revenue, 0) AS y FROM (SELECT DISTINCT product_line, product_id FROM q_prod) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT product_line, product_id, bucket AS i, revenue FROM q_prod) USING (product_line, product_id, i)) GROUP BY 1, 2) GROUP BY 1)
+  JOIN (SELECT product_line, avg(y) FILTER (WHERE i BETWEEN 6 AND 11) AS own, {_RV} AS ov, sum(y) FILTER (WHERE i <= 11) AS h, max(y) FILTER (WHERE i = 12) AS actual FROM (SELECT product_line, i, revenue AS y FROM q_line) GROUP BY 1) USING (product_line)""")
+query("f43_best_reconciliation", "SELECT *, row_number() OVER (ORDER BY round(mean_ape, 10), method) AS rank FROM (SELECT method, avg(abs(f - actual)/greatest(abs(actual), 1e-9)) AS mean_ape FROM (UNPIVOT (SELECT product_line, bottom_up, top_down, middle_out, least_squares, actual FROM q_rec) ON bottom_up, top_down, middle_out, least_squares INTO NAME method VALUE f) GROUP BY 1)", "mean_ape")(lambda w: ops.best_reconciliation(*_reconciled(w)))
+query("f42_reconciliation", "SELECT product_line, bottom_up, top_down, middle_out, own, least_squares FROM q_rec", "bottom_up top_down middle_out own least_squares")(lambda w: _reconciled(w)[0])
 
 
 def _cust_q(w):
@@ -310,14 +316,19 @@ def _leaf(w, *keys):
 _PM = "SELECT product_line, product_id, unnest([" + ", ".join(f"'{n}'" for n, _, _ in _M) + "]) AS method, unnest([" + ", ".join(_pred(a, p, "12") for _, a, p in _M) + "]) AS prediction FROM (SELECT product_line, product_id, i, greatest(coalesce(revenue, 0), 0) AS y FROM (SELECT DISTINCT product_line, product_id FROM q_prod) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT product_line, product_id, bucket AS i, revenue FROM q_prod) USING (product_line, product_id, i)) GROUP BY 1, 2"
 query("f32_layer_predictions", f"SELECT product_line, method, sum(prediction) AS prediction, count(*) AS series FROM ({_PM}) GROUP BY 1, 2", "prediction")(lambda w: ops.layer_predictions(_leaf(w, "product_line", "product_id"), ["product_line", "product_id"], LINE))
 query("f36_residual_quantiles")(lambda w: ops.residual_quantiles(_leaf(w, "product_line"), LINE))
-query("f37_interval_coverage")(lambda w: ops.interval_coverage(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE))
+query("f37_interval_coverage", """WITH q AS (SELECT product_line, method, quantile_cont(actual/prediction, 0.1) FILTER (WHERE fold < 9 AND prediction > 0) AS lo, quantile_cont(actual/prediction, 0.9) FILTER (WHERE fold < 9 AND prediction > 0) AS hi FROM (SELECT product_line, method, fold, actual, nullif(prediction, 0) AS prediction FROM q_rows) GROUP BY 1, 2)
+  SELECT product_line, method, CAST(count(*) FILTER (WHERE actual >= prediction*lo AND actual <= prediction*hi) AS DOUBLE)/count(*) AS coverage, avg(prediction*(hi-lo)/nullif(abs(actual),0)) AS relative_width FROM q_rows JOIN q USING (product_line, method) WHERE fold >= 9 GROUP BY 1, 2""", "coverage relative_width")(lambda w: ops.interval_coverage(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE))
 query("f40_window_choice", """WITH r AS (SELECT *, CAST(replace(method, 'mean_', '') AS INT) AS k FROM q_rows WHERE method IN ('mean_2','mean_3','mean_4','mean_6')), b AS (SELECT product_line, k, wape FROM (SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(wape, 10), k DESC) AS rn FROM (SELECT product_line, k, sum(abs_error)/greatest(sum(abs(actual)), 1e-9) AS wape FROM r GROUP BY 1, 2)) WHERE rn = 1),
   f AS (SELECT product_line, fold, k AS fk FROM (SELECT *, row_number() OVER (PARTITION BY product_line, fold ORDER BY round(abs_error, 6), k DESC) AS rn FROM r) WHERE rn = 1) SELECT b.*, agreement, agreement >= 2/3 AS stable FROM b JOIN (SELECT product_line, CAST(count(*) FILTER (WHERE fk = k) AS DOUBLE)/count(*) AS agreement FROM f JOIN b USING (product_line) GROUP BY 1) USING (product_line)""", "wape agreement")(
     lambda w: ops.window_choice(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE)
 )
 
 
-@query("f41_granularity")
+def _gran(name: str, cols: str) -> str:
+    return f"SELECT '{name}' AS scheme, product_line, t, sum(coalesce(s, 0))/4 AS p FROM (SELECT {cols}, b AS bucket, CAST(sum(revenue) AS DOUBLE) AS s FROM (SELECT *, {B} AS b FROM fact WHERE {_IN}) GROUP BY {cols}, b) JOIN (SELECT CAST(unnest([9, 10, 11]) AS INT) AS t) ON bucket <= t AND bucket > t - 4 GROUP BY 2, 3"
+
+
+@query("f41_granularity", f"SELECT product_line, scheme, sum(abs(p - revenue))/greatest(sum(abs(revenue)), 1e-9) AS wape FROM ({_gran('line', 'product_line')} UNION ALL {_gran('product', 'product_line, product_id')} UNION ALL {_gran('product_customer', 'product_line, product_id, customer_id')}) g JOIN q_line USING (product_line) WHERE q_line.i = g.t + 1 GROUP BY 1, 2", "wape")
 def _f41(w):
     line = settle(_leaf(w, "product_line"))
     return ops.granularity({"line": line, "product": _leaf(w, "product_line", "product_id"), "product_customer": _leaf(w, "product_line", "product_id", "customer_id")}, line)
