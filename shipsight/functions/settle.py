@@ -1,7 +1,8 @@
 """Written intermediate tables: cut the lineage where a frame feeds several branches.
 
 The folder is the cluster's `spark.checkpoint.dir` (shared storage), so a lost executor re-reads files instead of
-recomputing, and every branch starts from a plain scan. Where it is unset, as in tests, a temporary folder is used.
+recomputing, and every branch starts from a plain scan. Where it is unset, a temporary folder is used on a local
+master only; on a cluster that folder would be another one for each machine, so an unset folder is an error there.
 """
 
 from __future__ import annotations
@@ -18,15 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.TemporaryDirectory(prefix="shipsight-", ignore_cleanup_errors=True)
-    return _LOCAL[app].name
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.TemporaryDirectory(prefix="shipsight-", ignore_cleanup_errors=True)
+    return _LOCAL[sc.applicationId].name
+
+
+def new_path(spark: SparkSession, name: str = "settled") -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write the frame once and continue from the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
