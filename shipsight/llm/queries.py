@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sql, url_rules, winnow
+import public_tokenizers
+
+from . import bpe, exact_dedup, pii, secrets, sql, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,3 +48,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+@query("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer), tokenizer)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return with_spans(found, pii.KINDS, by_kind=True)
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_spans(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS, by_kind=False)
+
+
+def is_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def with_spans(found: DataFrame, kinds: tuple[str, ...], by_kind: bool) -> DataFrame:
+    """Counts by kind and a digest of the base spans; all spans as text, ordered by kind then start, or by start then kind."""
+    place = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.lit(i) for i in range(len(kinds))]))
+    key = (lambda x: F.struct(F.coalesce(place[x["kind"]], F.lit(99)).alias("a"), x["start"].alias("b"), x["stop"].alias("c"), x["kind"].alias("k"))) if by_kind else (
+        lambda x: F.struct(x["start"].alias("a"), F.coalesce(place[x["kind"]], F.lit(99)).alias("b"), x["stop"].alias("c"), x["kind"].alias("k")))
+    start = "b" if by_kind else "a"
+    words = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, key)), lambda x: F.concat_ws(":", x["k"], x[start], x["c"])), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(words(base).cast("binary"), 256).alias("base_sha256"),
+        words(F.col("spans")).alias("spans"),
+    )
