@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, pii, secrets, sql, url_rules, winnow
+from . import bpe, exact_dedup, pii, quality, secrets, sql, toxicity, url_rules, winnow
+from .text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +75,22 @@ def is_kind(kind: str):
     return lambda x: x["kind"] == kind
 
 
+def verdicts(scored: DataFrame, mod: int, rest: int) -> DataFrame:
+    return scored.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verdicts(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))), 3, 1)
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verdicts(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))), 4, 2)
+
+
 def with_spans(found: DataFrame, kinds: tuple[str, ...], by_kind: bool) -> DataFrame:
     """Counts by kind and a digest of the base spans; all spans as text, ordered by kind then start, or by start then kind."""
     place = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.lit(i) for i in range(len(kinds))]))
