@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, pii, quality, secrets, sql, toxicity, url_rules, winnow
+from . import bpe, exact_dedup, katz, pii, quality, secrets, sql, toxicity, url_rules, winnow
 from .text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_spans(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS, by_kind=False)
 
 
+@query("op10_lm_score")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
+
+
 def is_kind(kind: str):
     return lambda x: x["kind"] == kind
 

@@ -134,7 +134,7 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, ro
     """Primal support vector machine with squared hinge loss by Newton steps over the rows inside the margin."""
     x1 = np.c_[x, np.ones(len(x))]
     w = np.zeros(x1.shape[1])
-    ridge = np.r_[np.ones(x.shape[1]), 1e-3]
+    ridge = np.r_[np.full(x.shape[1], 0.2), 1e-3]
     active = None
     for _ in range(rounds):
         inside = y * (x1 @ w) < 1
@@ -173,7 +173,7 @@ def fit(bags: list[tuple[int, list[str]]], share: float, landmarks: int = 240, n
 
     Rounds alternate between naming the toxic units (first by telling pieces, then also those that the machine of the last
     round finds) and training on them against units of clean documents, the hardest ones included. `share`, the toxic
-    share among all labelled rows, is the score where one label is missing; else both labels weigh alike in the scores.
+    share among all labelled rows, is the score where one label is missing; else the rarer label weighs more in the scores, by the square root of the odds.
     """
     toxic, clean = [us for y, us in bags if y], [us for y, us in bags if not y]
     if not toxic or not clean:
@@ -209,7 +209,7 @@ def fit(bags: list[tuple[int, list[str]]], share: float, landmarks: int = 240, n
             hard = list(dict.fromkeys(hard + [pool[i] for i in np.argsort(-worst)[:1500]]))
     top = np.array([kernel.decide(us).max() if us else kernel.bias for _, us in bags])
     label = np.array([y for y, _ in bags], float)
-    kernel.slope, kernel.middle = curve(top, label, np.where(label == 1, 1 / label.mean(), 1 / (1 - label.mean())))
+    kernel.slope, kernel.middle = curve(top, label, np.where(label == 1, np.sqrt((1 - label.mean()) / label.mean()), 1.0))
     return kernel
 
 
