@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, katz, pii, quality, secrets, sql, toxicity, url_rules, winnow
+from . import bpe, exact_dedup, jaccard, katz, pii, quality, secrets, sql, toxicity, url_rules, winnow
 from .text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def verdicts(scored: DataFrame, mod: int, rest: int) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@query("op3_jaccard_join", sql.JACCARD)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
