@@ -41,3 +41,11 @@ def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The rows that `content_sort` keeps, with all their columns."""
+    kept = content_sort(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    own = docs.withColumn("_sha", F.sha2(filled().cast("binary"), 256))
+    same = Window.partitionBy("doc_id", "_sha").orderBy("doc_id")
+    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(docs.columns)

@@ -46,7 +46,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_decontamination", sql.DECONTAMINATION)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnow.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = winnow.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
@@ -92,7 +92,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return verdicts(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))), 3, 1)
+    return verdicts(toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))), 3, 1)
 
 
 @query("op8_quality")

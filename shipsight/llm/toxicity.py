@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import filled, from_driver, slices, texts, to_tasks
 
@@ -240,25 +241,27 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     return fit(sorted(bags), total["t"] / max(1, total["n"]))
 
 
-def score(docs: DataFrame, kernel: Kernel) -> DataFrame:
-    """All columns doc_id, score of each whole text: a text scores as its most toxic word.
+def score(docs: DataFrame, kernel: Kernel, text: str = "text", out: str = "score") -> DataFrame:
+    """All columns and `out`: the score of each whole text, which is that of its most toxic word.
 
-    Null and empty texts score as texts without any word of three letters; repeated rows repeat; other columns are ignored.
-    The table of subsequence weights has a fixed size and goes to every task.
+    Null and empty texts score as texts without any word of three letters; repeated rows repeat; a column named `out` is
+    replaced. The table of subsequence weights has a fixed size and goes to every task.
     """
     sent = to_tasks(docs.sparkSession, kernel)
+    kept = [f for f in docs.schema.fields if f.name != out]
+    schema = StructType([*kept, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = from_driver(sent)
         memory: dict[str, float] = {}
-        for table in slices(batches, "body"):
-            bags = [set(tokens(body)) for body in texts(table, "body")]
+        for part in slices(batches, text):
+            bags = [set(tokens(body)) for body in texts(part, text)]
             fresh = set().union(*bags)
             new = list(fresh - memory.keys())
             if len(memory) + len(new) > REMEMBERED:
                 memory, new = {}, list(fresh)
             memory.update(zip(new, known.decide([unit(t) for t in new]).tolist()))
             top = np.array([max(map(memory.__getitem__, bag), default=known.bias) for bag in bags])
-            yield from pa.table([table.column("doc_id"), pa.array(known.probability(top), pa.float64())], names=["doc_id", "score"]).to_batches()
+            yield from pa.table([*[part.column(f.name) for f in kept], pa.array(known.probability(top), pa.float64())], names=schema.names).to_batches()
 
-    return docs.select("doc_id", filled().alias("body")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, schema)

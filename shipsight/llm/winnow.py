@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -135,7 +134,7 @@ def merged(flat: list[int]) -> list[int]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 6, share: int = 20, max_bytes: int = 32_000_000) -> DataFrame:
-    """All columns doc_id, text of `docs` plus n_words, ranges (hit words, start and end in turn), items, contaminated.
+    """All columns of `docs` plus n_words, ranges (hit words, start and end in turn), items, contaminated.
 
     A fingerprint is the minimum k-gram hash of every span - k + 1 consecutive ones, so two equal runs of `span` words always
     share one. The benchmark's fingerprints and windows go to the tasks in shares of at most about `max_bytes` of text (its
@@ -143,19 +142,18 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 6, shar
     documents are never shuffled. A document is contaminated when hits make up 1/`share` of its words or more.
 
     Null text has no words; items without words match nothing; an item shorter than `span` is one window as a whole. Repeated
-    rows are judged alike, tied or repeated item ids count once, an empty benchmark gives no hits. Other columns are ignored.
+    rows are judged alike, tied or repeated item ids count once, an empty benchmark gives no hits. Columns of `docs` with the
+    names of the new ones are replaced.
     """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), filled().alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
-    out = docs.select("doc_id", filled().alias("body"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("ranges"), F.array().cast("array<string>").alias("items"))
+    own = {"body": filled(), "n_words": F.lit(0).cast("long"), "ranges": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
+    kept = [c for c in docs.columns if c not in (*own, "n_hit", "contaminated")]
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in own.items()])
     parts = max(1, math.ceil(size / max_bytes))
     for part in range(parts):
         out = _pass(out, bench, parts, part, span, k)
     hit = F.aggregate(F.transform("ranges", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda s, x: s + x).cast("long")
     return out.withColumn("n_hit", hit).select(
-        "doc_id", F.col("body").alias("text"), "n_words", "n_hit", "ranges", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+        *[F.col(f"`{c}`") for c in kept], "n_words", "n_hit", "ranges", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     )
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
