@@ -32,7 +32,7 @@ from .text import filled, from_driver, slices, to_tasks
 TRUSTED = 5
 END = b"\n"  # no word holds white space
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def pack(a: np.ndarray, rising: bool = False) -> bytes:
@@ -116,7 +116,9 @@ def _answer(n_buckets: int) -> Callable:
                 asked = [unpack(x["hashes"]) for x in r["asks"]]
                 words, back = np.unique(np.concatenate(asked), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([unpack(x["counts"]) for x in r["asks"]]).astype(float), len(words)).astype(np.int64)
-                ids = np.arange(len(words)) * n_buckets + r["bucket"] + 1
+                # Frequent words get small ids, which pack well.
+                ids = np.empty(len(words), np.int64)
+                ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * n_buckets + r["bucket"] + 1
                 known = counts[counts > 0]
                 ends = int(counts[words == np.uint64(end)].sum())
                 rows: list[tuple] = [(None, r["bucket"], b"", b"", [*np.bincount(np.minimum(known, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2].tolist(), int(known.sum()), len(known), ends])]
@@ -124,7 +126,7 @@ def _answer(n_buckets: int) -> Callable:
                 for x, a in zip(r["asks"], asked):
                     own = back[at : at + len(a)]
                     at += len(a)
-                    rows.append((x["block"], r["bucket"], pack(ids[own], True), pack(counts[own]), None))
+                    rows.append((x["block"], r["bucket"], pack(ids[own]), pack(counts[own]), None))
                 yield from table(rows, schema)
 
     return run
