@@ -26,7 +26,7 @@ SPACE, BEYOND = r"\t-\r \x85\xa0", re.compile("[^\x00-\u024f]").search
 #: Longer words are merged one by one.
 LONG_WORD = 64
 #: Words whose ids a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a text table reach Python in batches; operators work on slices of about so many characters.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def filled(text: str = "text") -> Column:
