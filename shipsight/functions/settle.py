@@ -32,9 +32,13 @@ def new_path(spark: SparkSession, name: str = "settled") -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the frame once and continue from the files."""
+def settle(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """Write the frame once and continue from the files; `buckets` (number, column) spares a later join on it the shuffle."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if buckets is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name = "settled_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
