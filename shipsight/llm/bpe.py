@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .text import from_driver, slices, texts, to_tasks
+from .text import from_driver, slices, small_batches, texts, to_tasks
 
 #: How text is split before the merges; a fixed value of the vocabulary. White space is Unicode's, as in the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,6 +209,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
     strings of special tokens in a text become their ids. Null and empty texts give an empty array; repeated rows repeat; a
     column named `out` is replaced, all others stay. A word of any length is merged in n log n steps.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         sent = to_tasks(docs.sparkSession, Vocabulary(f.read()))
     schema = StructType([f for f in docs.schema.fields if f.name != out] + [StructField(out, ArrayType(IntegerType(), False))])
@@ -242,6 +243,7 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decode
 
     Null and empty arrays give empty text; ids outside the vocabulary are skipped, as by the library.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         sent = to_tasks(docs.sparkSession, f.read())
     schema = StructType([f for f in docs.schema.fields if f.name != out] + [StructField(out, StringType())])

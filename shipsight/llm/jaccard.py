@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.settle import settle
 from .components import components, least_labels
 from .katz import mixed, pack, table, unpack
-from .text import filled, from_driver, slices, to_tasks
+from .text import filled, from_driver, slices, small_batches, to_tasks
 from .winnow import gram_hashes
 
 #: Bits of a document's bitmap, and documents of a leaf.
@@ -259,15 +259,17 @@ class Group:
         return i[ok], j[ok]
 
 
+#: What is carried of a class beside its set: candidate group, its size, its number of parts, and the class's part.
+CHOSEN = ("key", "root", "m", "parts", "part")
+
+
 def _sets_of(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+        schema = pa.schema([*[(c, pa.int64()) for c in CHOSEN], ("shingles", pa.binary())])
         for part in slices(batches, "body"):
-            rows = []
-            for s, key, root in zip(sets(part.column("body").to_pylist(), size), part.column("key").to_pylist(), part.column("root").to_pylist()):
-                if key_of(s) == key:  # an id may stand at several texts
-                    rows.append((key, root, len(s), pack(s, True)))
-            yield from table(rows, schema)
+            known = list(zip(*[part.column(c).to_pylist() for c in CHOSEN]))
+            # An id may stand at several texts: the set must be the one that was chosen.
+            yield from table([(*row, pack(s, True)) for s, row in zip(sets(part.column("body").to_pylist(), size), known) if key_of(s) == row[0]], schema)
 
     return run
 
@@ -317,6 +319,7 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     rows are copies; ties of ids are harmless; other columns are ignored; no rows give none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", filled(f"`{text}`").alias("body"))
     n_buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     common = common_shingles(rows, size)
@@ -327,12 +330,12 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     could = asked.groupBy("bucket").agg(F.collect_list(F.struct("hashes", "at", "keys", "sizes")).alias("parts")).mapInArrow(_candidates(percent), "a long, b long")
     groups = components(could).withColumnRenamed("node", "key")
     chosen = each.groupBy("key").agg(F.min("doc_id").alias("id")).join(groups, "key")
-    looked = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("body", "key", "root")
-    members = settle(looked.mapInArrow(_sets_of(size), "key long, root long, n long, shingles binary"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
+    chosen = chosen.join(sizes, "root").withColumn("parts", F.ceil(F.col("m") / group).cast("long")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    looked = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("body", *CHOSEN)
+    members = looked.mapInArrow(_sets_of(size), ", ".join(f"{c} long" for c in CHOSEN) + ", shingles binary")
 
-    sizes = members.groupBy("root").agg(F.count_distinct("key").alias("m"))
-    several = F.ceil(F.col("m") / group).cast("long")
-    dealt = members.join(sizes, "root").withColumn("parts", several).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("label", F.col("key"))
+    dealt = settle(members).withColumn("label", F.col("key"))
     # Small groups share tasks; each still counts alone.
     lots = F.when(F.col("parts") > 1, F.xxhash64("root", "part")).otherwise(F.pmod(F.xxhash64("root"), F.lit(64 * n_buckets)))
     every = F.pmod(F.xxhash64(F.col("key") + 1), F.greatest(F.floor(F.col("m") / pilots), F.lit(1))) == 0

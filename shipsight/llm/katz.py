@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.settle import settle
-from .text import filled, from_driver, slices, to_tasks
+from .text import filled, from_driver, slices, small_batches, to_tasks
 
 #: Counts above are not discounted.
 TRUSTED = 5
 END = b"\n"  # no word holds white space
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def pack(a: np.ndarray, rising: bool = False) -> bytes:
@@ -178,54 +178,67 @@ class Model:
         return total, np.where(ch > 0, (1 - seen / np.maximum(total, 1)) / np.maximum(rest, 1e-12), 1.0)
 
 
+def _joined(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    answers = sorted(answers, key=lambda x: x["bucket"])
+    return np.concatenate([unpack(x["ids"]) for x in answers]), np.concatenate([unpack(x["counts"]) for x in answers]).astype(np.int64)
+
+
+def _plain(model: Model, toks: np.ndarray, lens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Known tokens and unigram score of each document."""
+    starts = np.cumsum(lens) - lens
+    base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+    return np.add.reduceat((count > 0)[toks].astype(np.int64), starts), np.add.reduceat(base[toks], starts)
+
+
+def _bigrams(model: Model, block: str, toks: np.ndarray, lens: np.ndarray, train: np.ndarray, gid: np.ndarray, count: np.ndarray) -> list[tuple]:
+    """The block's distinct bigrams for each bucket: histories, words, training counts, and the documents that hold them."""
+    start = len(gid)  # the history of first tokens
+    prev = np.empty(len(toks), np.int64)
+    prev[1:] = toks[:-1]
+    prev[np.cumsum(lens) - lens] = start
+    prev *= start + 1
+    prev += toks
+    order = np.argsort(prev, kind="stable").astype(np.int32)  # tokens are in document order, and stay so inside a bigram
+    key, doc = prev[order], np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order]
+    del prev, order
+    new_key = np.r_[True, key[1:] != key[:-1]]
+    entry = np.flatnonzero(new_key | np.r_[True, doc[1:] != doc[:-1]])
+    mult, doc = np.diff(np.r_[entry, len(key)]).astype(np.int32), doc[entry]
+    heads = np.flatnonzero(new_key[entry])
+    uniq = key[entry[heads]]
+    del key, new_key
+    sizes = np.diff(np.r_[heads, len(entry)]).astype(np.int32)
+    trained = np.add.reduceat(mult * train[doc], heads)
+    hl, wl = uniq // (start + 1), uniq % (start + 1)
+    h, w, ch, cw = np.r_[gid, np.uint64(0)][hl], gid[wl], np.r_[count, model.docs][hl], count[wl]
+    del uniq, hl, wl, entry
+    bucket = model.bucket(h, w, ch)
+    by = np.lexsort((w, h, bucket))
+    moved = np.repeat(heads[by] - np.r_[0, np.cumsum(sizes[by])[:-1]], sizes[by]) + np.arange(len(doc))
+    doc, mult = doc[moved], mult[moved]
+    del moved
+    h, w, ch, cw, trained, sizes = (x[by] for x in (h, w, ch, cw, trained, sizes))
+    cuts = np.searchsorted(bucket[by], np.arange(model.n_buckets + 1))
+    ends = np.r_[0, np.cumsum(sizes)]
+    rows = []
+    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        if i < j:
+            e = slice(ends[i], ends[j])
+            rows.append((b, block, [pack(h[i:j], True), pack(w[i:j]), pack(ch[i:j]), pack(cw[i:j]), pack(trained[i:j]), pack(sizes[i:j] - 1), pack(doc[e]), pack(mult[e] - 1)]))
+    return rows
+
+
 def _send(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("blobs", pa.list_(pa.binary()))])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
-                answers = sorted(r["answers"], key=lambda x: x["bucket"])
-                gid = np.concatenate([unpack(x["ids"]) for x in answers])
-                count = np.concatenate([unpack(x["counts"]) for x in answers]).astype(np.int64)
-                toks, lens = unpack(r["toks"]).astype(np.int64), unpack(r["lens"]).astype(np.int64)
-                train = unpack(r["train"]).astype(np.int64)
-                doc = np.repeat(np.arange(len(lens)), lens)
-                base = np.bincount(doc, np.log10((count + 0.1) / (model.tokens + 0.1 * (model.words + 1)))[toks], len(lens))
-                known = np.bincount(doc, count[toks] > 0, len(lens)).astype(np.int64)
+                gid, count = _joined(r["answers"])
+                toks, lens, train = unpack(r["toks"]).astype(np.int32), unpack(r["lens"]).astype(np.int64), unpack(r["train"]).astype(bool)
+                known, base = _plain(model, toks, lens, count)
                 yield from table([(-1 - int(xxhash.xxh32_intdigest(r["block"])) % model.n_buckets, r["block"], [r["ids"], r["nulls"], r["lens"], r["train"], pack(known), base.tobytes()])], schema)
-
-                first = np.zeros(len(toks), bool)
-                first[np.cumsum(lens) - lens] = True
-                start = len(gid)  # the history of first tokens
-                prev = np.where(first, start, np.concatenate([[start], toks[:-1]]))
-                key = prev * (start + 1) + toks
-                order = np.argsort(key, kind="stable")  # tokens are in document order, and stay so inside a bigram
-                key, kdoc = key[order], doc[order]
-                new_key = np.r_[True, key[1:] != key[:-1]]
-                new_entry = new_key | np.r_[True, kdoc[1:] != kdoc[:-1]]
-                entry = np.flatnonzero(new_entry)
-                mult = np.diff(np.r_[entry, len(key)])
-                edoc = kdoc[entry]
-                heads = np.flatnonzero(new_key[entry])
-                sizes = np.diff(np.r_[heads, len(entry)])
-                uniq = key[entry[heads]]
-                trained = np.add.reduceat(mult * train[edoc], heads)
-                hl, wl = uniq // (start + 1), uniq % (start + 1)
-                ids0, counts0 = np.r_[gid, np.uint64(0)], np.r_[count, model.docs]
-                h, w, ch, cw = ids0[hl], gid[wl], counts0[hl], count[wl]
-                bucket = model.bucket(h, w, ch)
-                by = np.lexsort((w, h, bucket))
-                moved = np.repeat(heads[by] - np.r_[0, np.cumsum(sizes[by])[:-1]], sizes[by]) + np.arange(len(entry))
-                edoc, mult = edoc[moved], mult[moved]
-                h, w, ch, cw, trained, sizes, bucket = (x[by] for x in (h, w, ch, cw, trained, sizes, bucket))
-                cuts = np.searchsorted(bucket, np.arange(model.n_buckets + 1))
-                ends = np.r_[0, np.cumsum(sizes)]
-                rows = []
-                for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    if i < j:
-                        e = slice(ends[i], ends[j])
-                        rows.append((b, r["block"], [pack(h[i:j], True), pack(w[i:j]), pack(ch[i:j]), pack(cw[i:j]), pack(trained[i:j]), pack(sizes[i:j] - 1), pack(edoc[e]), pack(mult[e] - 1)]))
-                yield from table(rows, schema)
+                yield from table(_bigrams(model, r["block"], toks, lens, train, gid, count), schema)
 
     return run
 
@@ -322,7 +335,9 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     n = 2**bits
-    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS))
+    small_batches(spark)
+    # Bucketed by block, so that blocks stay where they are when the answers come.
+    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(n, "block"))
     asks = blocks.select("block", "hashes", "counts").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
     words = settle(asks.groupBy("bucket").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("asks")).mapInArrow(_answer(n), "block string, bucket long, ids binary, counts binary, stats array<long>"))
     stats = words.filter("block IS NULL").select(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(TRUSTED + 4)]).first()

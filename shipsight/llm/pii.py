@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .secrets import SPANS
-from .text import filled, from_driver, slices, texts, to_tasks
+from .text import filled, from_driver, slices, small_batches, texts, to_tasks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -198,6 +198,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", least: float = 0.9)
     the clear mentions of the same document. Null is empty text, with no spans; repeated rows repeat; other columns are
     ignored. Work is linear in the text: tokens, chain edges and skip edges to the previous mention.
     """
+    small_batches(docs.sparkSession)
     sent = to_tasks(docs.sparkSession, field)  # a fixed number of features and labels, bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

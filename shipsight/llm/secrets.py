@@ -10,7 +10,7 @@ from datetime import date
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import slices, texts
+from .text import slices, small_batches, texts
 
 KINDS = ("assign", "access", "hex")
 SPANS = "doc_id long, spans array<struct<kind: string, start: int, stop: int, base: boolean>>"
@@ -146,6 +146,7 @@ def find(docs: DataFrame, text: str = "text", least: float = 8.0) -> DataFrame:
     Null is empty text, with no spans; repeated rows repeat; other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):
             rows = []

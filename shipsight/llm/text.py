@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -26,8 +25,11 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == rest
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python take whole texts in batches of fewer rows, unless the session says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.Table]:
@@ -60,8 +62,3 @@ def to_tasks(spark: SparkSession, thing) -> Broadcast:
 
 def from_driver(sent: Broadcast):
     return pickle.loads(sent.value)
-
-
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, so that extra ones with clashing names never meet an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])

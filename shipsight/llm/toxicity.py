@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .text import filled, from_driver, slices, texts, to_tasks
+from .text import filled, from_driver, slices, small_batches, texts, to_tasks
 
 #: Letters of the kernel: a-z and 13 classes for all others; a code of three letters indexes a table.
 LETTERS = 40
@@ -247,6 +247,7 @@ def score(docs: DataFrame, kernel: Kernel, text: str = "text", out: str = "score
     Null and empty texts score as texts without any word of three letters; repeated rows repeat; a column named `out` is
     replaced. The table of subsequence weights has a fixed size and goes to every task.
     """
+    small_batches(docs.sparkSession)
     sent = to_tasks(docs.sparkSession, kernel)
     kept = [f for f in docs.schema.fields if f.name != out]
     schema = StructType([*kept, StructField(out, DoubleType())])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import filled, from_driver, slices, to_tasks
+from .text import filled, from_driver, slices, small_batches, to_tasks
 
 #: Bytes as they stand in words: A-Z lower-cased, all other ASCII but digits and letters become spaces, the rest stays.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -150,6 +150,7 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 6, shar
     own = {"body": filled(), "n_words": F.lit(0).cast("long"), "ranges": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
     kept = [c for c in docs.columns if c not in (*own, "n_hit", "contaminated")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in own.items()])
+    small_batches(docs.sparkSession)
     parts = max(1, math.ceil(size / max_bytes))
     for part in range(parts):
         out = _pass(out, bench, parts, part, span, k)
