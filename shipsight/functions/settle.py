@@ -38,7 +38,16 @@ def settle(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     path = new_path(spark)
     if buckets is None:
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    name = "settled_" + path.rsplit("-", 1)[-1]
-    df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        name = "settled_" + path.rsplit("-", 1)[-1]
+        df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(name)
+        out = spark.table(name)
+    out.settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled frame that no later step reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
