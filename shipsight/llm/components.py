@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import discard, settle
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,5 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = settle(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        old, now = now, settle(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
+        discard(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -70,7 +70,7 @@ def _frequent(least: int) -> Callable:
     return run
 
 
-def common_shingles(docs: DataFrame, size: int, sample: int = 10_000, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, size: int, sample: int = 15_000, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that at least `least` of about `sample` documents hold, chosen by hash of the id; only an order depends on them."""
     total = docs.count()
     step = max(1, total // sample)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import discard, settle
 from .text import filled, from_driver, slices, small_batches, to_tasks
 
 #: Counts above are not discounted.
@@ -243,14 +243,18 @@ def _send(sent) -> Callable:
     return run
 
 
+def _short(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32) if not len(a) or a.max() >> np.uint64(32) == 0 else a
+
+
 def merged(asks: list[dict]) -> tuple[np.ndarray, ...]:
     """The bucket's distinct bigrams by history: h, w, training counts of both words and the pair; and where each ask's bigrams are."""
-    h, w, ch, cw, c = (np.concatenate([unpack(x["blobs"][i]) for x in asks]) for i in range(5))
+    h, w, ch, cw, c = (np.concatenate([unpack(x["blobs"][i]) if i < 2 else _short(unpack(x["blobs"][i])) for x in asks]) for i in range(5))
     order = np.lexsort((w, h)) if max(h.max(), w.max()) >> np.uint64(32) else np.argsort((h << np.uint64(32)) | w)
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])]
     heads = np.flatnonzero(new)
-    back = np.empty(len(h), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(h), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     at = order[heads]
     return h[at], w[at], ch[at].astype(np.int64), cw[at].astype(np.int64), np.add.reduceat(c[order].astype(np.int64), heads), back
 
@@ -277,7 +281,7 @@ def _tell(sent) -> Callable:
 
 def _evaluate(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), ("sums", pa.binary())])
+        schema = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("sums", pa.binary())])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
@@ -297,7 +301,9 @@ def _evaluate(sent) -> Callable:
                     sizes, docs, mult = unpack(x["blobs"][5]).astype(np.int64) + 1, unpack(x["blobs"][6]).astype(np.int64), unpack(x["blobs"][7]).astype(float) + 1
                     own = back[at : at + len(sizes)]
                     at += len(sizes)
-                    rows.append((x["block"], np.bincount(docs, np.repeat(logp[own], sizes) * mult).tobytes()))
+                    sums = np.bincount(docs, np.repeat(logp[own], sizes) * mult)
+                    some = np.flatnonzero(sums)
+                    rows.append((x["block"], pack(some, True), sums[some].tobytes()))
                 yield from table(rows, schema)
 
     return run
@@ -310,9 +316,8 @@ def _finish(tokens: int) -> Callable:
                 ids, nulls, lens, train, known, base = r["blobs"]
                 lens = unpack(lens).astype(np.int64)
                 score = np.zeros(len(lens))
-                for s in r["sums"]:
-                    part = np.frombuffer(s)
-                    score[: len(part)] += part
+                for part in r["parts"]:
+                    score[unpack(part["docs"]).astype(np.int64)] += np.frombuffer(part["sums"])
                 yield pa.record_batch([
                     pa.array(np.frombuffer(zstandard.decompress(ids), np.int64), mask=unpack(nulls).astype(bool)), pa.array(unpack(train) == 0), pa.array(lens), pa.array(unpack(known).astype(np.int64)),
                     pa.array(np.full(len(lens), tokens)), pa.array(np.frombuffer(base)), pa.array(score),
@@ -351,6 +356,7 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
         .mapInArrow(_send(sent), "bucket long, block string, blobs array<binary>")
     )
     buckets = settle(bigrams.groupBy("bucket").agg(F.collect_list(F.struct("block", "blobs")).alias("asks")))
+    discard(blocks)
     told = (
         buckets.filter("bucket >= 0").mapInArrow(_tell(sent), "h long, ch long, small array<long>, large long, lower double")
         .groupBy("h").agg(F.max("ch").alias("ch"), *[F.sum(F.col("small")[i]).alias(f"n{i}") for i in range(TRUSTED + 1)], F.sum("large").alias("large"), F.sum("lower").alias("lower"))
@@ -362,8 +368,8 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
         if r["h"] >= 0:
             model.spread[r["h"]] = (sum(r[f"n{i}"] * (i + 1) * model.d2[i + 1] for i in range(TRUSTED)) + r["large"], r["lower"])
 
-    sums = buckets.filter("bucket >= 0").mapInArrow(_evaluate(to_tasks(spark, model)), "block string, sums binary").groupBy("block").agg(F.collect_list("sums").alias("sums"))
+    sums = buckets.filter("bucket >= 0").mapInArrow(_evaluate(to_tasks(spark, model)), "block string, docs binary, sums binary").groupBy("block").agg(F.collect_list(F.struct("docs", "sums")).alias("parts"))
     heads = buckets.filter("bucket < 0").select(F.explode("asks").alias("a")).select("a.block", "a.blobs")
-    return heads.join(sums, "block").select("blobs", "sums").mapInArrow(
+    return heads.join(sums, "block").select("blobs", "parts").mapInArrow(
         _finish(model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about `chars` bytes of text each; a longer single row is a table of its own."""
+    give_back()
     kept: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -60,5 +63,13 @@ def to_tasks(spark: SparkSession, thing) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
 
 
+def give_back() -> None:
+    """Let this worker return freed arrays of 1 MB or more to the system at once; the workers share a tight memory limit."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc; others have no such setting
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def from_driver(sent: Broadcast):
+    give_back()
     return pickle.loads(sent.value)
