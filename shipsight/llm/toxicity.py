@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -102,9 +103,9 @@ class Kernel:
                     at.append(i)
                     ws.append(piece)
         for at, ws in by.values():
-            for lo in range(0, len(ws), 20_000):
-                code, value = features(ws[lo : lo + 20_000])
-                np.maximum.at(out, at[lo : lo + 20_000], (self.weights[code] * value).sum(axis=1) + self.bias)
+            for lo in range(0, len(ws), 4_000):
+                code, value = features(ws[lo : lo + 4_000])
+                np.maximum.at(out, at[lo : lo + 4_000], (self.weights[code] * value).sum(axis=1) + self.bias)
         return out
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ def nystroem(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.nda
         code, value = features([words[i][:WIDE] for i in rows])
         for col in np.flatnonzero(value.any(axis=0)):
             k[rows] += zt[code[:, col]] * value[:, col : col + 1].astype(np.float32)
-    return k @ root, root @ z
+    return (k @ root).astype(float), root.astype(np.float32) @ z
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -227,17 +228,18 @@ def curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in slices(batches, "body"):
-        found = [sorted({u for t in set(tokens(body)) if len(u := unit(t)) > 2})[:20_000] for body in texts(table, "body")]
+        found = [sorted({u for t in set(tokens(body)) if len(u := unit(t)) > 2}) for body in texts(table, "body")]
         yield from pa.table([table.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "units"]).to_batches()
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = 2500) -> Kernel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = 1500) -> Kernel:
     """Fit on at most `sample` documents of each label for which `usable` holds, those whose ids hash lowest; null labels are left out."""
     known = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("y")).filter("y IS NOT NULL").filter(usable).groupBy("doc_id").agg(F.max("y").alias("y"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     few = [known.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (1, 0)]
     rows = docs.select("doc_id", filled().alias("body")).join(few[0].unionAll(few[1]), "doc_id").select("y", "body")
-    bags = [(r[0], r[1]) for r in rows.mapInArrow(_bags, "y int, units array<string>").collect()]
+    # One string object for each distinct unit, document by document.
+    bags = [(r[0], [sys.intern(u) for u in r[1]]) for r in rows.mapInArrow(_bags, "y int, units array<string>").toLocalIterator()]
     return fit(sorted(bags), total["t"] / max(1, total["n"]))
 
 
