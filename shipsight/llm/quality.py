@@ -82,9 +82,10 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], ro
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth: int = 3, lasso: float = 2e-4, steps: int = 600) -> RuleModel:
     """Boosted trees give the rules, an L1-penalised logistic regression over them (accelerated proximal steps) the weights."""
+    prior = (y.sum() + 1) / (len(y) + 2)
+    constant = RuleModel(names, float(np.log(prior / (1 - prior))), [], [])
     if not len(y) or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return RuleModel(names, float(np.log(p / (1 - p))), [], [])
+        return constant
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, 49))) for k in range(x.shape[1])]
     f = np.zeros(len(y))
     found: list[tuple[Rule, float]] = []
@@ -94,6 +95,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth:
         grow(x, p - y, np.maximum(p * (1 - p), 1e-6), cuts, np.arange(len(y)), (), depth, found, value)
         f += 0.3 * value
     rules = list(dict.fromkeys(r for r, _ in found))
+    if not rules:
+        return constant
     m = np.stack([holds(x, r) for r in rules], axis=1).astype(float)
     keep = (m.mean(axis=0) > 0) & (m.mean(axis=0) < 1)
     rules, m = [r for r, k in zip(rules, keep) if k], m[:, keep]
