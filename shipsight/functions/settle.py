@@ -7,8 +7,10 @@ master only; on a cluster that folder would be another one for each machine, so
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +34,36 @@ def new_path(spark: SparkSession, name: str = "settled") -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for deleting a query's shuffle files at its end; otherwise they wait for a collection in the driver.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned_up(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def settle(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
-    """Write the frame once and continue from the files; `buckets` (number, column) spares a later join on it the shuffle."""
+    """Write the frame once and continue from the files; `buckets` (number, column) spares a later join on it the shuffle.
+
+    Once written, its shuffle files are of no more use and are deleted at once, so that a chain of writes needs the disk of
+    its largest step only.
+    """
     spark = df.sparkSession
     path = new_path(spark)
     if buckets is None:
-        df.write.parquet(path)
+        with _shuffles_cleaned_up(spark):
+            df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     else:
         name = "settled_" + path.rsplit("-", 1)[-1]
-        df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(name)
+        with _shuffles_cleaned_up(spark):
+            df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(name)
         out = spark.table(name)
     out.settled_at = path
     return out
