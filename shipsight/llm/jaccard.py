@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settle import settle
+from ..functions.settle import discard, settle
 from .components import components, least_labels
 from .katz import mixed, pack, table, unpack
 from .text import filled, from_driver, slices, small_batches, to_tasks
@@ -335,7 +335,8 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     looked = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("body", *CHOSEN)
     members = looked.mapInArrow(_sets_of(size), ", ".join(f"{c} long" for c in CHOSEN) + ", shingles binary")
 
-    dealt = settle(members).withColumn("label", F.col("key"))
+    written = settle(members)
+    dealt = written.withColumn("label", F.col("key"))
     # Small groups share tasks; each still counts alone.
     lots = F.when(F.col("parts") > 1, F.xxhash64("root", "part")).otherwise(F.pmod(F.xxhash64("root"), F.lit(64 * n_buckets)))
     every = F.pmod(F.xxhash64(F.col("key") + 1), F.greatest(F.floor(F.col("m") / pilots), F.lit(1))) == 0
@@ -347,6 +348,7 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     named = dealt.filter("parts > 1").join(found.withColumnRenamed("node", "key").withColumnRenamed("root", "so_far"), "key", "left").withColumn("label", F.coalesce("so_far", "key"))
     open_groups = named.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("root")
     left = settle(named.join(open_groups, "root").drop("so_far"))
+    discard(written)
     if left.limit(1).count():
         pure = left.groupBy("root", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         a, b = pure.alias("a"), pure.alias("b")
