@@ -345,11 +345,12 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     edges = settle(first)
     found = components(edges)
 
-    named = dealt.filter("parts > 1").join(found.withColumnRenamed("node", "key").withColumnRenamed("root", "so_far"), "key", "left").withColumn("label", F.coalesce("so_far", "key"))
-    open_groups = named.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("root")
-    left = settle(named.join(open_groups, "root").drop("so_far"))
-    discard(written)
-    if left.limit(1).count():
+    # Labels alone tell which groups are open; only their sets are read again.
+    named = written.filter("parts > 1").select("key", "root", "part").distinct().join(found.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left")
+    labels = settle(named.withColumn("label", F.coalesce("label", "key")))
+    open_groups = settle(labels.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("root"))
+    if open_groups.limit(1).count():
+        left = settle(written.join(open_groups, "root").select("key", "root", "part", "shingles").join(labels.select("key", "label"), "key"))
         pure = left.groupBy("root", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         a, b = pure.alias("a"), pure.alias("b")
         pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.part") < F.col("b.part"))).filter("NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)")
@@ -357,6 +358,7 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
         twice = pairs.select("root", F.col("p").alias("part"), "p", "q").unionAll(pairs.select("root", F.col("q").alias("part"), "p", "q"))
         second = left.join(twice, ["root", "part"]).withColumn("part", F.xxhash64("p", "q")).select("key", "root", "part", "label", "shingles").withColumn("lot", F.xxhash64("root", "part"))
         found = components(edges.unionAll(second.groupBy("lot").applyInArrow(_link(percent), "a long, b long")))
+    discard(written)
 
     named = each.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
