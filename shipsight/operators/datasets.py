@@ -235,11 +235,15 @@ def owner_customer_matrix(fact: DataFrame, p: Periods, k: int = 33) -> DataFrame
 
 
 def monthly_kpi(fact: DataFrame) -> DataFrame:
+    """Monthly totals and distinct counts. The fact is summed to customer months first, so that the several distinct counts
+    multiply those rows and not the fact; products are counted beside them."""
     tiers = ("KA", "AA", "KM", "MM")
-    return fact.groupBy("month_idx").agg(
-        *[dbl(F.sum(m)).alias(m) for m in M3], F.count_distinct("customer_id").alias("customers"), F.count_distinct("product_id").alias("products"),
+    products = fact.groupBy(F.col("month_idx").alias("_m")).agg(F.count_distinct("product_id").alias("products"))
+    months = fact.groupBy("month_idx", "customer_id", "tier").agg(*[F.sum(m).alias(m) for m in M3]).groupBy("month_idx").agg(
+        *[dbl(F.sum(m)).alias(m) for m in M3], F.count_distinct("customer_id").alias("customers"),
         *[total_if(F.col("tier") == t, "revenue").alias(f"revenue_{t.lower()}") for t in tiers], *[distinct_if(F.col("tier") == t, "customer_id").alias(f"customers_{t.lower()}") for t in tiers],
     )
+    return months.join(products, F.col("month_idx").eqNullSafe(F.col("_m"))).drop("_m")
 
 
 def customer_month_cells(cm: DataFrame) -> DataFrame:

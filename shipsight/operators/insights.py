@@ -366,11 +366,10 @@ def association_rules(rows: DataFrame, basket_cols, item: str, min_support: floa
     )
 
 
-def gated_association(rows: DataFrame, basket_cols, item: str, min_rows: int = 100, **kw) -> DataFrame:
-    """Association rules, empty when the input has fewer than `min_rows` rows."""
-    enough = rows.limit(min_rows).count() >= min_rows
+def gated_association(rows: DataFrame, basket_cols, item: str, min_rows: int = 0, **kw) -> DataFrame:
+    """Association rules; a caller may ask for none when the input has fewer than `min_rows` rows."""
     out = association_rules(rows, basket_cols, item, **kw)
-    return out if enough else out.limit(0)
+    return out if not min_rows or rows.limit(min_rows).count() >= min_rows else out.limit(0)
 
 
 def association_bonus(rules: DataFrame, factor: float = 5.0) -> DataFrame:

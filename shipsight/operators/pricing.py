@@ -160,10 +160,10 @@ TIER_POINTS = {"KA": 100, "AA": 75, "KM": 50, "MM": 25}
 PARETO_POINTS = {"A": 100, "B": 80, "C": 60, "D": 30}
 
 
-def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int = 5, weights=(0.35, 0.25, 0.25, 0.15), fallback: int = 50) -> DataFrame:
+def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int = 5, weights=(0.35, 0.25, 0.25, 0.15)) -> DataFrame:
     """Unit price of each customer-product pair against its product and channel, with a fairness score.
 
-    Returns the pairs flagged as unusually cheap, or the lowest scores when none is flagged. `customers` may carry
+    Returns every scored pair; `low_price_anomaly` flags the unusually cheap ones. `customers` may carry
     `pareto`, `strategy_points` and `stability` from other operators.
     """
     cp = cpm.groupBy("customer_id", "product_id").agg(
@@ -201,11 +201,7 @@ def pricing_fairness(cpm: DataFrame, customers: DataFrame, min_customers: int =
         F.concat(F.lit("gap="), F.round(F.col("gap_pct") + 0.00000137, 0).cast("bigint").cast("string"), F.lit("%")),
         F.concat(F.lit("dearest="), F.col("max_customer").cast("string")),
     )
-    r = settle(r)
-    cheap = r.filter("low_price_anomaly")
-    if cheap.isEmpty():
-        cheap = r.orderBy("fairness", "customer_id", "product_id").limit(fallback)
-    return cheap.withColumn("note", note)
+    return r.withColumn("note", note)
 
 
 def markup_opportunity(cpm: DataFrame, ratio: float = 0.9, min_months: int = 6, max_share: float = 0.3) -> DataFrame:

@@ -15,10 +15,10 @@ def read_silver(spark: SparkSession, path: str, schema: StructType, fmt: str = "
 
 
 def write_silver(df: DataFrame, path: str, partition: str | None = None, csv_path: str | None = None) -> None:
-    """Parquet, partitioned when asked (rows gathered per partition value so that a value is not split into many files), and optional CSV."""
+    """Parquet, partitioned when asked (rows of a value lie together, a heavy value in several ranges), and optional CSV."""
     if partition:
-        # Range partitioning splits a heavy month over several tasks and keeps small months together.
-        df.repartitionByRange(F.col(partition)).write.mode("overwrite").partitionBy(partition).parquet(path)
+        # The row's hash splits a heavy month over several ranges; small months stay together.
+        df.repartitionByRange(F.col(partition), F.xxhash64(*df.columns)).write.mode("overwrite").partitionBy(partition).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     if csv_path:
