@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.settle import discard, settle
 from .components import components, least_labels
 from .katz import mixed, pack, table, unpack
-from .text import filled, from_driver, slices, small_batches, to_tasks
+from .text import filled, give_back, slices, small_batches
 from .winnow import gram_hashes
 
 #: Bits of a document's bitmap, and documents of a leaf.
@@ -43,89 +43,108 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _common(share: int, size: int) -> Callable:
-    """Of a sample: shingles and the number of its documents that hold them, packed by bucket."""
+def prefix_length(n, percent: int):
+    """So many shingles of a set, the first in an order that all sets share: two sets that link have one of these in common."""
+    return n - least_overlap(n, percent) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        for part in slices(batches, "body"):
-            found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets(part.column("body").to_pylist(), size)]), return_counts=True)
-            by = np.argsort(found % np.uint64(share), kind="stable")
-            cuts = np.searchsorted((found % np.uint64(share))[by].astype(np.int64), np.arange(share + 1))
-            yield from table([(b, pack(found[by][i:j], True), pack(counts[by][i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j], schema)
 
-    return run
+#: Of each document: id, class key, size. Of the block's distinct sets, numbered as they come: shingles in order, and whose.
+BLOCKS = "block string, ids binary, nulls binary, keys binary, sizes binary, hashes binary, owners binary, held long"
 
 
-def _frequent(least: int) -> Callable:
+def _blocks(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("hashes", pa.binary()), ("counts", pa.binary())])
-        for batch in batches:
-            for r in batch.to_pylist():
-                found, back = np.unique(np.concatenate([unpack(x["hashes"]) for x in r["parts"]]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([unpack(x["counts"]) for x in r["parts"]]).astype(float)).astype(np.int64)
-                keep = counts >= least
-                yield from table([(pack(found[keep], True), pack(counts[keep]))], schema)
+        schema = pa.schema([("block", pa.string()), *[(c, pa.binary()) for c in ("ids", "nulls", "keys", "sizes", "hashes", "owners")], ("held", pa.int64())])
+        task = TaskContext.get()
+        for no, part in enumerate(slices(batches, "body")):
+            keys, sizes, own = [], [], {}
+            for s in sets(part.column("body").to_pylist(), size):
+                keys.append(key_of(s))
+                sizes.append(len(s))
+                if len(s):
+                    own.setdefault(keys[-1], s)
+            hashes = np.concatenate([np.empty(0, np.uint64), *own.values()])
+            owners = np.repeat(np.arange(len(own)), [len(s) for s in own.values()])
+            by = np.argsort(hashes, kind="stable")
+            ids = part.column("doc_id")
+            raw = np.array(ids.fill_null(0).to_pylist(), np.int64)
+            yield from table([(f"{task.partitionId()}-{no}", zstandard.compress(raw.tobytes()), pack(np.array(ids.is_null().to_pylist())), np.array(keys, np.int64).tobytes(), pack(np.array(sizes)), pack(hashes[by], True), pack(owners[by]), len(hashes))], schema)
 
     return run
 
 
-def common_shingles(docs: DataFrame, size: int, sample: int = 15_000, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least `least` of about `sample` documents hold, chosen by hash of the id; only an order depends on them."""
-    total = docs.count()
-    step = max(1, total // sample)
-    parts = max(1, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("body")), F.lit(step)) == 0)
-    counted = rows.mapInArrow(_common(parts, size), "bucket long, hashes binary, counts binary").groupBy("bucket").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts"))
-    got = [(unpack(r[0]), unpack(r[1])) for r in counted.mapInArrow(_frequent(least), "hashes binary, counts binary").collect()]
-    h = np.concatenate([np.empty(0, np.uint64), *[x for x, _ in got]])
-    c = np.concatenate([np.empty(0, np.uint64), *[x for _, x in got]])
-    order = np.argsort(h)
-    return h[order], c[order]
+def classes(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sizes of a block's distinct sets, as its owners number them."""
+    keys, sizes = np.frombuffer(r["keys"], np.int64), unpack(r["sizes"]).astype(np.int64)
+    some = np.flatnonzero(sizes)
+    at = some[np.sort(np.unique(keys[some], return_index=True)[1])]
+    return keys[at], sizes[at]
 
 
-def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first shingles in the order (how common, hash); two sets that link have one of these in common."""
-    n = len(s) - least_overlap(len(s), percent) + 1
-    hashes, counts = common
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-        held = hashes[at] == s
-        if held.any():
-            return s[np.lexsort((s, np.where(held, counts[at], 0)))][:n]
-    return s[:n]
+#: Shingles are counted by the first 48 of their 64 bits. A clash makes two look more common than they are, no more.
+COUNTED = 48
 
 
-BLOCKS = "block string, ids binary, nulls binary, keys binary, sizes binary, prefix binary, lens binary"
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - COUNTED)
 
 
-def _blocks(sent, percent: int, size: int) -> Callable:
+def _ask(bits: int) -> Callable:
+    """A block's shingles and how many of its sets hold them, by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), *[(c, pa.binary()) for c in ("ids", "nulls", "keys", "sizes", "prefix", "lens")]])
-        common, task = from_driver(sent), TaskContext.get()
-        for no, part in enumerate(slices(batches, "body")):
-            keys, sizes, prefixes, known = [], [], [], set()
-            for s in sets(part.column("body").to_pylist(), size):
-                keys.append(key_of(s))
-                sizes.append(len(s))
-                # Of equal sets in a block, one brings the prefix.
-                prefixes.append(prefix(s, common, percent) if len(s) and keys[-1] not in known else s[:0])
-                known.add(keys[-1])
-            ids = part.column("doc_id")
-            raw = np.array(ids.fill_null(0).to_pylist(), np.int64)
-            yield from table([(f"{task.partitionId()}-{no}", zstandard.compress(raw.tobytes()), pack(np.array(ids.is_null().to_pylist())), np.array(keys, np.int64).tobytes(), pack(np.array(sizes)), pack(np.concatenate(prefixes)), pack(np.array([len(p) for p in prefixes])))], schema)
+        schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary())])
+        give_back()
+        for batch in batches:
+            for r in batch.to_pylist():
+                found, counts = np.unique(_short(unpack(r["hashes"])), return_counts=True)
+                cuts = np.searchsorted((found >> np.uint64(COUNTED - bits)).astype(np.int64), np.arange(2**bits + 1))
+                yield from table([(b, r["block"], pack(found[i:j], True), pack(counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j], schema)
 
     return run
 
 
-def _spread(n_buckets: int) -> Callable:
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each block, those of its shingles that more than one set holds, and how many do."""
+    schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    give_back()
+    for batch in batches:
+        for r in batch.to_pylist():
+            asked = [unpack(x["hashes"]) for x in r["asks"]]
+            found, back = np.unique(np.concatenate(asked), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([unpack(x["counts"]) for x in r["asks"]]).astype(float), len(found)).astype(np.int64)
+            rows, at = [], 0
+            for x, hashes in zip(r["asks"], asked):
+                own = counts[back[at : at + len(hashes)]]
+                at += len(hashes)
+                if (own > 1).any():
+                    rows.append((x["block"], r["bucket"], pack(hashes[own > 1], True), pack(own[own > 1])))
+            yield from table(rows, schema)
+
+
+def _spread(n_buckets: int, percent: int) -> Callable:
+    """The shared shingles in the prefixes of a block's sets, by bucket. In the order of prefixes the shingles of one set
+    only come first, then the rarer; those of one set only can meet nobody and stay at home."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("hashes", "at", "keys", "sizes")]])
+        give_back()
         for batch in batches:
             for r in batch.to_pylist():
-                lens, hashes = unpack(r["lens"]).astype(np.int64), unpack(r["prefix"])
-                keys, sizes = np.frombuffer(r["keys"], np.int64), unpack(r["sizes"])
-                owner = np.repeat(np.arange(len(lens)), lens)
+                keys, sizes = classes(r)
+                hashes, owner = unpack(r["hashes"]), unpack(r["owners"]).astype(np.int64)
+                answers = sorted(r["answers"], key=lambda x: x["bucket"])
+                shared = np.concatenate([unpack(x["hashes"]) for x in answers])
+                at = np.minimum(np.searchsorted(shared, _short(hashes)), len(shared) - 1)
+                hit = shared[at] == _short(hashes)
+                hashes, owner = hashes[hit], owner[hit]
+                count = np.concatenate([unpack(x["counts"]) for x in answers])[at[hit]]
+                held = np.bincount(owner, minlength=len(keys))
+                room = prefix_length(sizes, percent) - (sizes - held)
+                by = np.lexsort((hashes, count, owner))
+                hashes, owner = hashes[by], owner[by]
+                inside = np.arange(len(by)) - (np.cumsum(held) - held)[owner] < room[owner]
+                hashes, owner = hashes[inside], owner[inside]
                 bucket = (mixed(hashes) % np.uint64(n_buckets)).astype(np.int64)
                 by = np.lexsort((hashes, bucket))
                 hashes, owner = hashes[by], owner[by]
@@ -263,15 +282,16 @@ class Group:
 CHOSEN = ("key", "root", "m", "parts", "part")
 
 
-def _sets_of(size: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*[(c, pa.int64()) for c in CHOSEN], ("shingles", pa.binary())])
-        for part in slices(batches, "body"):
-            known = list(zip(*[part.column(c).to_pylist() for c in CHOSEN]))
-            # An id may stand at several texts: the set must be the one that was chosen.
-            yield from table([(*row, pack(s, True)) for s, row in zip(sets(part.column("body").to_pylist(), size), known) if key_of(s) == row[0]], schema)
-
-    return run
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*[(c, pa.int64()) for c in CHOSEN], ("shingles", pa.binary())])
+    give_back()
+    for batch in batches:
+        for r in batch.to_pylist():
+            keys, sizes = classes(r)
+            hashes = unpack(r["hashes"])[np.argsort(unpack(r["owners"]), kind="stable")]
+            ends = dict(zip(keys.tolist(), np.cumsum(sizes).tolist()))
+            starts = dict(zip(keys.tolist(), (np.cumsum(sizes) - sizes).tolist()))
+            yield from table([(*[w[c] for c in CHOSEN], pack(hashes[starts[w["key"]] : ends[w["key"]]], True)) for w in r["wanted"]], schema)
 
 
 def _link(percent: int) -> Callable:
@@ -299,17 +319,20 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             raw = np.frombuffer(zstandard.decompress(r["ids"]), np.int64)
-            yield pa.record_batch([pa.array(raw, mask=unpack(r["nulls"]).astype(bool)), pa.array(np.frombuffer(r["keys"], np.int64)), pa.array(unpack(r["sizes"]).astype(np.int64))], names=["doc_id", "key", "n"])
+            ids = pa.array(raw, mask=unpack(r["nulls"]).astype(bool))
+            yield pa.record_batch([pa.array([r["block"]] * len(raw), pa.string()), ids, pa.array(np.frombuffer(r["keys"], np.int64)), pa.array(unpack(r["sizes"]).astype(np.int64))], names=["block", "doc_id", "key", "n"])
 
 
-def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", group: int = 3000, pilots: int = 24) -> DataFrame:
+def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", group: int = 3000, pilots: int = 24, bucket: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by shingle sets whose Jaccard similarity is percent / 100 or more.
 
-    1. Equal sets are one class (by a 64-bit key). Of each class, the prefix of its set, in an order that puts common
-       shingles last, goes to hash buckets; whatever could link shares a prefix shingle, and the buckets' edges give
-       candidate groups (components of a graph of could-be links).
-    2. One text of each class in a candidate group is looked up again, and its whole set goes to its group's task. There a
-       signature tree with dual traversal finds every link between sets that are not joined yet.
+    1. Texts become blocks of shingle sets, written once; equal sets are one class (by a 64-bit key). Hash buckets count
+       every shingle over all blocks and tell each block which of its shingles others hold too, and how many.
+    2. Of each class, the prefix of its set, in an order that puts common shingles last, goes to hash buckets; whatever
+       could link shares a prefix shingle, and the buckets' edges give candidate groups (components of a graph of could-be
+       links). Sets with enough shingles of their own need not be sent at all.
+       One set of each class in a candidate group goes to its group's task. There a signature tree with dual traversal
+       finds every link between sets that are not joined yet.
     3. A group of more than `group` classes is cut into parts that share `pilots` members, through which parts of one
        family join. Groups that are still in several components afterwards get a second pass over pairs of parts, which
        compares only sets of different components. So a large family of near copies costs one pass, no task holds more
@@ -322,20 +345,26 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     small_batches(spark)
     rows = docs.select("doc_id", filled(f"`{text}`").alias("body"))
     n_buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    common = common_shingles(rows, size)
-    blocks = settle(rows.mapInArrow(_blocks(to_tasks(spark, common), percent, size), BLOCKS))  # the sample bounds `common`
-    each = blocks.select("ids", "nulls", "keys", "sizes").mapInArrow(_each, "doc_id long, key long, n long")
-
-    asked = blocks.select("keys", "sizes", "prefix", "lens").mapInArrow(_spread(n_buckets), "bucket long, hashes binary, at binary, keys binary, sizes binary")
-    could = asked.groupBy("bucket").agg(F.collect_list(F.struct("hashes", "at", "keys", "sizes")).alias("parts")).mapInArrow(_candidates(percent), "a long, b long")
+    # Bucketed by block, so that blocks stay where they are when answers come.
+    blocks = settle(rows.mapInArrow(_blocks(size), BLOCKS), buckets=(n_buckets, "block"))
+    bits = ((blocks.agg(F.sum("held")).first()[0] or 0) // bucket).bit_length()
+    asks = blocks.select("block", "hashes").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
+    told = asks.groupBy("bucket").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("asks")).mapInArrow(_answer, "block string, bucket long, hashes binary, counts binary")
+    answers = settle(told).groupBy("block").agg(F.collect_list(F.struct("bucket", "hashes", "counts")).alias("answers"))
+
+    sent = blocks.select("block", "keys", "sizes", "hashes", "owners").join(answers, "block").mapInArrow(_spread(n_buckets, percent), "bucket long, hashes binary, at binary, keys binary, sizes binary")
+    could = sent.groupBy("bucket").agg(F.collect_list(F.struct("hashes", "at", "keys", "sizes")).alias("parts")).mapInArrow(_candidates(percent), "a long, b long")
     groups = components(could).withColumnRenamed("node", "key")
-    chosen = each.groupBy("key").agg(F.min("doc_id").alias("id")).join(groups, "key")
+    each = settle(blocks.select("block", "ids", "nulls", "keys", "sizes")).mapInArrow(_each, "block string, doc_id long, key long, n long")
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    chosen = chosen.join(sizes, "root").withColumn("parts", F.ceil(F.col("m") / group).cast("long")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    looked = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("body", *CHOSEN)
-    members = looked.mapInArrow(_sets_of(size), ", ".join(f"{c} long" for c in CHOSEN) + ", shingles binary")
+    chosen = each.join(groups, "key").groupBy("key").agg(F.min("block").alias("block"), F.min("root").alias("root")).join(sizes, "root")
+    chosen = chosen.withColumn("parts", F.ceil(F.col("m") / group).cast("long")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    wanted = chosen.groupBy("block").agg(F.collect_list(F.struct(*CHOSEN)).alias("wanted"))
+    looked = blocks.select("block", "keys", "sizes", "hashes", "owners").join(wanted, "block")
+    members = looked.mapInArrow(_sets_of, ", ".join(f"{c} long" for c in CHOSEN) + ", shingles binary")
 
     written = settle(members)
+    discard(blocks)
     dealt = written.withColumn("label", F.col("key"))
     # Small groups share tasks; each still counts alone.
     lots = F.when(F.col("parts") > 1, F.xxhash64("root", "part")).otherwise(F.pmod(F.xxhash64("root"), F.lit(64 * n_buckets)))
