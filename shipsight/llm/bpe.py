@@ -25,6 +25,8 @@ NEVER = np.int64(1) << np.int64(40)
 SPACE, BEYOND = r"\t-\r \x85\xa0", re.compile("[^\x00-\u024f]").search
 #: Longer words are merged one by one.
 LONG_WORD = 64
+#: Characters that are split into words at once; the lists of words take some twenty times as many bytes.
+PIECE_CHARS = 1_000_000
 #: Words whose ids a task remembers at once.
 REMEMBERED = 200_000
 
@@ -218,7 +220,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
         vocabulary = from_driver(sent)
         splitter = Splitter(vocabulary)
         special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) or r"(?!)")
-        for table in slices(batches, text):
+        for table in slices(batches, text, PIECE_CHARS):
             pieces, seams = [], []  # texts cut at special strings; of each text, its pieces and the ids between them
             for body in texts(table, text):
                 at, ids, n = 0, [], len(pieces)
@@ -253,6 +255,7 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decode
         letters = byte_letters()
         raw = {i: bytes(map(letters.__getitem__, t)) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         known = [raw.get(i, b"") for i in range(max(raw) + 1)] + [b""]
+        del spec, raw
         last = len(known) - 1
         for batch in batches:
             column = batch.column(ids)

@@ -66,7 +66,9 @@ def to_tasks(spark: SparkSession, thing) -> Broadcast:
 def give_back() -> None:
     """Let this worker return freed arrays of 1 MB or more to the system at once; the workers share a tight memory limit."""
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc; others have no such setting
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc; others have no such setting
+        libc.malloc_trim(0)  # what earlier tasks of this worker left
     pa.set_memory_pool(pa.system_memory_pool())
 
 
