@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import date
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +20,9 @@ SPANS = "doc_id long, spans array<struct<kind: string, start: int, stop: int, ba
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Credential contexts beyond the fixed ones, or with looser punctuation, and their value.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth|bearer)["']?\x20{0,3}(?:[:=]>?|\x20is\x20|\x20)\x20{0,3}["']?([^\s"',;<>]{6,200})""", re.I | re.A)
+#: Credential contexts beyond the fixed ones, or with looser punctuation, up to their value.
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth|bearer)["']?\x20{0,3}(?:[:=]>?|\x20is\x20|\x20)\x20{0,3}["']?(?=[^\s"',;<>]{6})""", re.I | re.A)
+VALUE = re.compile(r"""[^\s"',;<>]+""", re.A)
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 
 #: Frequent words of passwords, most frequent first, and the rows of a keyboard.
@@ -123,25 +126,41 @@ def base_spans(body: str) -> list[tuple[str, int, int]]:
 
 
 def context_values(body: str, least: float) -> list[tuple[int, int]]:
-    """Values in credential contexts whose guess cost reaches 10^least; a value without digit or mixed case is no secret."""
+    """Values in credential contexts whose guess cost reaches 10^least; a value without digit or mixed case is no secret.
+
+    A value reaches to its end, however long. Contexts inside a value belong to it, so each character is scored once; but a
+    context that ends a value (`auth: Bearer ...`) still opens the next one.
+    """
     low = body.lower()
     if not any(h in low for h in HINTS):
         return []
-    out = []
+    out, end = [], 0
     for m in CONTEXT.finditer(body):
-        value = m[1].rstrip(".)]}")
+        start = m.end()
+        if start < end:
+            continue
+        end = VALUE.match(body, start).end()
+        value = body[start:end].rstrip(".)]}")
         kinds = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value)))
         if len(value) >= 6 and kinds >= 2 and any(c.isdigit() or not c.isalnum() for c in value) and guess_cost(value) >= least:
-            out.append((m.start(1), m.start(1) + len(value)))
+            out.append((start, start + len(value)))
     return out
 
 
+def beyond(values: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The values that no single span holds whole."""
+    ordered = sorted((i, j) for _, i, j in spans)
+    starts, reach = [i for i, _ in ordered], list(accumulate((j for _, j in ordered), max))
+    return [(i, j) for i, j in values if not (n := bisect_right(starts, i)) or reach[n - 1] < j]
+
+
 def find(docs: DataFrame, text: str = "text", least: float = 8.0) -> DataFrame:
     """doc_id and spans (kind, start, stop, base) in code points.
 
     Base spans are the fixed patterns. Beyond them, values in wider credential contexts are added as kind `guess` where the
     cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans needs 10^least guesses or more
-    and no base span overlaps. Values are scored up to 200 characters, so the work is linear in the text.
+    and no base span holds the whole value; a value that only partly lies in base spans is added as a whole. Values are
+    scored to their end, and the work is linear in the text, as segments have bounded sizes or are runs.
 
     Null is empty text, with no spans; repeated rows repeat; other columns are ignored.
     """
@@ -151,10 +170,9 @@ def find(docs: DataFrame, text: str = "text", least: float = 8.0) -> DataFrame:
         for table in slices(batches):
             rows = []
             for body in texts(table):
-                spans = [dict(kind=k, start=i, stop=j, base=True) for k, i, j in base_spans(body)]
-                for i, j in context_values(body, least):
-                    if all(j <= s["start"] or s["stop"] <= i for s in spans):
-                        spans.append(dict(kind="guess", start=i, stop=j, base=False))
+                base = base_spans(body)
+                spans = [dict(kind=k, start=i, stop=j, base=True) for k, i, j in base]
+                spans += [dict(kind="guess", start=i, stop=j, base=False) for i, j in beyond(context_values(body, least), base)]
                 rows.append(spans)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
             yield from pa.table([table.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"]).to_batches()

@@ -105,6 +105,15 @@ def test_secrets(docs, none):
     assert secrets.guess_cost("aaaaaaaaaaaa") < 4 and secrets.guess_cost("qwertyuiop") < 4 and secrets.guess_cost("") == 0
 
 
+def test_secrets_are_whole(spark):
+    rng = random.Random(4)
+    jwt = "".join(rng.choice("abcdefghijkLMNOPQRSTuvw0123456789_-.") for _ in range(599)) + "Q"
+    rows = [(1, f"Authorization: Bearer {jwt} end"), (2, f"password=abcDEF123456$x9Q{jwt}"), (3, f"auth: Bearer {jwt}"), (4, f"token={jwt}$password xK9#qL2$vT"), (5, "token=" + "ab" * 300), (6, 'password="abcDEF123456"')]
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "guess"] for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [(22, 622)] and got[2] == [(9, 625)] and got[3] == [(13, 613)] and got[4] == [(6, 615), (616, 626)]
+    assert got[5] == [] and got[6] == []
+
+
 def naive_links(rows):
     s = []
     for _, t in rows:
