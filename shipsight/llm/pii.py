@@ -195,7 +195,8 @@ def find(docs: DataFrame, field: Field, text: str = "text", least: float = 0.9)
 
     Base spans are the fixed patterns. A candidate token whose marginal of some kind reaches `least` and that no base span
     overlaps is added without its outer signs; so a mention that the patterns miss (another spelling, a lost sign) follows
-    the clear mentions of the same document. Null is empty text, with no spans; repeated rows repeat; other columns are
+    the clear mentions of the same document. The field judges every document with a candidate, whether a pattern hit it or not, as
+    it was trained on both. Null is empty text, with no spans; repeated rows repeat; other columns are
     ignored. Work is linear in the text: tokens, chain edges and skip edges to the previous mention.
     """
     small_batches(docs.sparkSession)
@@ -209,7 +210,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", least: float = 0.9)
                 tokens = candidates(body)
                 spans = base_spans(body) if tokens else []
                 rows.append([dict(kind=k, start=i, stop=j, base=True) for k, i, j in spans])
-                if tokens and spans:
+                if tokens:
                     rows[-1] += added(known, tokens, spans, least)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
             yield from pa.table([table.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"]).to_batches()

@@ -90,6 +90,13 @@ def test_pii_field_adds_mentions(spark, docs, none):
     assert p[2, 2] > alone[0, 2]  # the skip edges to its like raise the odd mention
 
 
+def test_pii_field_needs_no_base_span(spark):
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rows = [(1, "host 10.0.0.256 is down"), (2, "mail a@b.co, host 10.0.0.256 is down"), (3, "version 1.2.3 of 2020-01-02, id 0123456789abcdef01")]
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if not s.base] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert got == {1: [("ip", 5, 15)], 2: [("ip", 18, 28)], 3: []}
+
+
 def test_secrets(docs, none):
     rng = random.Random(3)
     naive = lambda b: sorted(
