@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,37 +141,40 @@ def labelled(body: str) -> tuple[list[tuple[int, int, str]], list[int]]:
 def train(docs: DataFrame, text: str = "text", sample: int = 3000, steps: int = 150, skip_weight: float = 2.5) -> Field:
     """Fit the field on a bounded sample: the `sample` documents with a digit or @ whose ids hash lowest.
 
-    Labels are the base spans. Unary weights by L2 logistic regression, chain potentials as smoothed log odds of neighbouring
+    All tokens of these documents count; equal examples reach the driver once, with how often they occur. Labels are the
+    base spans. Unary weights by L2 logistic regression, chain potentials as smoothed log odds of neighbouring
     labels, skip potentials as an agreement bonus. No rows, or no labelled token, give a field that adds nothing.
     """
     rows = docs.select("doc_id", filled(f"`{text}`").alias("body")).filter(F.col("body").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "body").limit(sample)
-    found: list[tuple[list[list[str]], list[int]]] = [(r[0], r[1]) for r in rows.mapInArrow(_examples, "feats array<array<string>>, labels array<int>").collect()]
+    examples = rows.mapInArrow(_examples, "feats array<string>, label int, next int, n long")
+    found = sorted(tuple(r) for r in examples.groupBy("feats", "label", "next").agg(F.sum("n")).collect())
     names: dict[str, int] = {}
     counts: dict[str, int] = defaultdict(int)
-    for feats, _ in found:
-        for f in (x for fs in feats for x in fs):
-            counts[f] += 1
+    for feats, _, _, times in found:
+        for f in feats:
+            counts[f] += times
     for f in sorted(counts):
         if counts[f] >= 2:
             names[f] = len(names)
     n, k = len(names), len(LABELS)
     unary = np.zeros((n, k))
     pairs = np.ones((k, k))
-    flat = [([names[x] for x in fs if x in names], y) for feats, ys in found for fs, y in zip(feats, ys)]
-    for _, ys in found:
-        for a, b in zip(ys, ys[1:]):
-            pairs[a, b] += 1
-    if flat and len({y for _, y in flat}) > 1:
-        at = np.array([i for i, (f, _) in enumerate(flat) for _ in f])
-        col = np.array([c for f, _ in flat for c in f])
-        want = np.eye(k)[[y for _, y in flat]]
+    flat = [[names[x] for x in feats if x in names] for feats, *_ in found]
+    for _, y, after, times in found:
+        if after >= 0:
+            pairs[y, after] += times
+    if len({y for _, y, *_ in found}) > 1:
+        at = np.array([i for i, f in enumerate(flat) for _ in f])
+        col = np.array([c for f in flat for c in f])
+        want = np.eye(k)[[y for _, y, *_ in found]]
+        weight = np.array([[times] for *_, times in found], float)
         m = np.zeros_like(unary)
         for step in range(steps):
             score = np.zeros((len(flat), k))
             np.add.at(score, at, unary[col])
             grad = np.zeros_like(unary)
-            np.add.at(grad, col, (_softmax(score) - want)[at])
-            m = 0.9 * m + grad / len(flat) + 1e-5 * unary
+            np.add.at(grad, col, (weight * (_softmax(score) - want))[at])
+            m = 0.9 * m + grad / weight.sum() + 1e-5 * unary
             unary -= 2.0 * m
     freq = pairs.sum(axis=1) / pairs.sum()
     chain = 0.5 * np.log(pairs / pairs.sum() / (freq[:, None] * freq[None, :]))
@@ -179,15 +182,15 @@ def train(docs: DataFrame, text: str = "text", sample: int = 3000, steps: int =
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each feature list occurs with its label and the label of the next token, -1 at the end of a text."""
     for table in slices(batches, "body"):
-        feats, labels = [], []
+        seen: Counter = Counter()
         for body in texts(table, "body"):
             tokens, ys = labelled(body)
-            tokens, ys = tokens[:400], ys[:400]
             t = [x[2] for x in tokens]
-            feats.append([features(x, t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else "") for i, x in enumerate(t)])
-            labels.append(ys)
-        yield from pa.table([pa.array(feats, pa.list_(pa.list_(pa.string()))), pa.array(labels, pa.list_(pa.int32()))], names=["feats", "labels"]).to_batches()
+            seen.update((tuple(features(x, t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else "")), ys[i], ys[i + 1] if i + 1 < len(t) else -1) for i, x in enumerate(t))
+        feats, labels, after = zip(*seen) if seen else ((), (), ())
+        yield from pa.table([pa.array(feats, pa.list_(pa.string())), pa.array(labels, pa.int32()), pa.array(after, pa.int32()), pa.array(seen.values(), pa.int64())], names=["feats", "label", "next", "n"]).to_batches()
 
 
 def find(docs: DataFrame, field: Field, text: str = "text", least: float = 0.9) -> DataFrame:

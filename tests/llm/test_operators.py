@@ -97,6 +97,14 @@ def test_pii_field_needs_no_base_span(spark):
     assert got == {1: [("ip", 5, 15)], 2: [("ip", 18, 28)], 3: []}
 
 
+def test_pii_trains_on_whole_texts(spark):
+    tail = " ".join(f"mail u{i}@site{i}.org" for i in range(60))
+    rows = [(i, " ".join(str(x % 10) for x in range(500)) + " " + tail) for i in range(5)]
+    field = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert field.unary.any() and field.marginals(pii.candidates("to me7@there7.org"))[0].argmax() == 1
+    assert field.chain[1, 1] > 0 > field.chain[0, 1]
+
+
 def test_secrets(docs, none):
     rng = random.Random(3)
     naive = lambda b: sorted(
