@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 
 from shipsight.functions.settle import settle
 from shipsight.llm import bpe, exact_dedup, jaccard, toxicity, winnow
-from shipsight.llm.text import held_out
+from shipsight.llm.text import held_out, unused, whole
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one, so that none meets a name that an operator adds."""
+    return docs.select("text", F.struct(*[c for c, name in zip(whole(docs), docs.columns) if name.lower() != "text"]).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again."""
+    return rows.select("text", "row.*").select(whole(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.7; the model learns from the labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.train(docs, labels, ~held_out("doc_id", 3, 1)), out="_toxicity")
-    return scored.filter("_toxicity < 0.7").select(docs.columns)
+    scored = toxicity.score(packed(docs), toxicity.train(docs.select("doc_id", "text"), labels, ~held_out("doc_id", 3, 1)))
+    return unpacked(scored.filter("score < 0.7"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +35,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the one with the least id; rows that share an id stay or go together."""
-    heads = jaccard.link_groups(docs.select("doc_id", "text")).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key = unused(docs, "_id")
+    heads = jaccard.link_groups(docs.select("doc_id", "text")).filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth of the words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return winnow.find(docs, benchmark).filter("NOT contaminated").select(docs.columns)
+    return unpacked(winnow.find(packed(docs), benchmark).filter("NOT contaminated"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

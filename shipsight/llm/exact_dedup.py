@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import filled
+from .text import filled, unused, whole
 
 
 def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest", salts: int = 64) -> DataFrame:
@@ -44,8 +44,10 @@ def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows that `content_sort` keeps, with all their columns."""
-    kept = content_sort(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    own = docs.withColumn("_sha", F.sha2(filled().cast("binary"), 256))
-    same = Window.partitionBy("doc_id", "_sha").orderBy("doc_id")
-    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(docs.columns)
+    """The rows that `content_sort` keeps, with all their columns, of whatever names."""
+    key, kept_sha, sha, nth = (unused(docs, n) for n in ("_id", "_kept", "_sha", "_nth"))
+    kept = content_sort(docs, keep=keep).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(kept_sha))
+    own = docs.withColumn(sha, F.sha2(filled().cast("binary"), 256))
+    same = Window.partitionBy("doc_id", sha).orderBy("doc_id")
+    met = own.join(kept, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    return met.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(whole(docs))

@@ -27,6 +27,19 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == rest
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many signs before it as keep it apart from the columns of `docs` in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole(docs: DataFrame) -> list[Column]:
+    """The columns by name, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python take whole texts in batches of fewer rows, unless the session says how many."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -297,3 +297,17 @@ def test_pipeline_against_brute_force(spark):
     want = {i: (len(e := t.encode(x, add_special_tokens=False).ids), sha(",".join(map(str, e))), sha(x)) for i, x in rows.items() if i not in bad}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_copies", "drop_near_copies", "drop_contaminated"])
+def test_stages_stand_clashing_names(spark, stage):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    names = ["body", "n_words", "n_hit", "ranges", "items", "contaminated", "_id", "_sha", "_kept", "_nth", "_toxicity", "toxic", "score", "a.b", "row", "component_id", "kept"]
+    wide = docs.select("doc_id", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names], "text")
+    got = getattr(corpus_pipeline, stage)(spark, wide, SF)
+    assert got.columns == wide.columns
+    rows = {r[0]: tuple(r) for r in got.collect()}
+    want = {r.doc_id: (r.doc_id, *[f"{n} {r.doc_id}" for n in names], r.text) for r in getattr(corpus_pipeline, stage)(spark, docs, SF).collect()}
+    assert rows == want and len(want) > 0
