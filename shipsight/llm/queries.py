@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, jaccard, katz, pii, quality, secrets, sql, toxicity, url_rules, winnow
+from . import bpe, exact_dedup, jaccard, katz, piece_bpe, pii, quality, secrets, sql, toxicity, url_rules, winnow
 from .text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
 
 
+@query("op13_piece_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = piece_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, packed=True)
+    done = piece_bpe.decode(ids, ranks)
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def is_kind(kind: str):
     return lambda x: x["kind"] == kind
 
