@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, jaccard, katz, piece_bpe, pii, quality, secrets, sql, toxicity, url_rules, winnow
+from . import bpe, dialogue, exact_dedup, jaccard, katz, multi_index, piece_bpe, pii, quality, secrets, sql, toxicity, url_rules, winnow
 from .text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the damage that the repair query has to find, decided by conversation and turn."""
+    rows = rows.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fate = F.pmod(F.crc32(key.cast("binary")), F.lit(20))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(fate == 3, 2).otherwise(1))
+    return rows.filter(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op11_conversation_repair", sql.CONVERSATION_REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = dialogue.repair(damaged(rows))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    sides = rows.select("conv_id").distinct().unionByName(report, True).unionByName(dialogue.digests(repaired), True)
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    found = [F.coalesce(F.max(c), nothing.get(c, F.lit(0).cast("long"))).alias(c) for c in (*counts, "audit", "repaired_sha256")]
+    return sides.groupBy("conv_id").agg(*found)
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 @query("op13_piece_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = piece_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
