@@ -389,6 +389,47 @@ def geography(fact: DataFrame, p: Periods, dims=("region",), k: int = 5) -> Data
     return g.join(best("customer_id", "top_customers"), list(dims), "left").join(best("product_line", "top_lines"), list(dims), "left")
 
 
+def place_rows(fact: DataFrame, province: str, unknown: str = "unknown", rest: str = "unspecified") -> DataFrame:
+    """Fact rows once for each place they count for: their province, their city where it is `province`, or their place abroad."""
+    row = lambda level, region, sub: F.struct(F.lit(level).alias("level"), region.alias("region"), sub.alias("sub"))
+    region, sub, none = F.col("region"), F.col("sub"), F.lit("")
+    home = F.array(row("province", region, none), F.when(region == province, row("city", region, F.coalesce(F.nullif(sub, none), F.lit(rest)))))
+    levels = F.when(F.col("abroad") | (region == unknown), F.array(row("abroad", region, sub))).otherwise(F.array_compact(home))
+    return fact.withColumn("_at", F.explode(levels)).drop("region", "sub", "abroad").select("*", "_at.*").drop("_at")
+
+
+PLACE = ["level", "region", "sub"]
+
+
+def place_report(fact: DataFrame, p: Periods, province: str) -> DataFrame:
+    """12-month figures of provinces, cities of one province and places abroad: share, latest change and the trend by month."""
+    f = place_rows(fact.filter(p.last12()), province)
+    months = f.groupBy(*PLACE, "month_idx").agg(*[dbl(F.sum(m)).alias(m) for m in M3])
+    trend = F.array(*[total_if(p.month_at(11 - i), "revenue") for i in range(12)]).alias("trend")
+    g = months.groupBy(*PLACE).agg(*[F.sum(m).alias(m) for m in M3], *_measures(p.month_at(0), "m0", ("revenue",)), *_measures(p.month_at(1), "m1", ("revenue",)), trend)
+    buyers = f.select(*PLACE, "customer_id").distinct().groupBy(*PLACE).agg(F.count("customer_id").alias("customers"))
+    total = fact.filter(p.last12()).agg(dbl(F.sum("revenue"))).scalar()
+    g = g.join(buyers, PLACE).withColumn("_t", total)
+    return g.select(*PLACE, *M3, "customers", _margin("profit", "revenue").alias("margin"), (div("revenue", "_t") * 100).alias("share"), _growth("revenue_m0", "revenue_m1").alias("mom"), "trend")
+
+
+def place_leaders(fact: DataFrame, p: Periods, province: str, what: str, k: int = 5) -> DataFrame:
+    """The k customers or products with the highest revenue of the year so far in each place, with margin and yearly change."""
+    f = place_rows(fact.filter(p.ytd() | p.ytd(1)), province).filter(F.col(what).isNotNull())
+    g = f.groupBy(*PLACE, what).agg(*_measures(p.ytd(), "now", ("revenue", "profit")), *_measures(p.ytd(1), "before", ("revenue",)), F.max(F.when(p.ytd(), 1)).alias("_sold"))
+    g = top_k(g.filter(F.col("_sold") == 1), PLACE, [F.desc("revenue_now"), F.asc(what)], k)
+    return g.select(*PLACE, "rank", what, F.col("revenue_now").alias("revenue"), _margin("profit_now", "revenue_now").alias("margin"), _growth("revenue_now", "revenue_before").alias("yoy"))
+
+
+def place_kpis(fact: DataFrame, p: Periods, province: str, unknown: str = "unknown") -> DataFrame:
+    """Year-to-date shares of one province, of places abroad and of unknown ones; the number of provinces."""
+    home = ~F.col("abroad") & (F.col("region") != unknown)
+    f = fact.filter(p.ytd())
+    sums = {"province": home & (F.col("region") == province), "abroad": F.col("abroad"), "unknown": F.col("region") == unknown}
+    g = f.agg(dbl(F.sum("revenue")).alias("_t"), *[total_if(c_, "revenue").alias(f"{n}_revenue") for n, c_ in sums.items()], distinct_if(home, "region").alias("provinces"))
+    return g.select(*[f"{n}_revenue" for n in sums], *[(div(f"{n}_revenue", "_t") * 100).alias(f"{n}_share") for n in sums], "provinces")
+
+
 def top_products(fact: DataFrame, p: Periods, k: int = 20) -> DataFrame:
     """The k products with the highest latest-month revenue, their changes, top customer share, and a total row."""
     conds = {"m0": p.month_at(0), "m1": p.month_at(1), "m12": p.month_at(12), "ytd": p.ytd(), "py": p.ytd(1)}

@@ -1,4 +1,4 @@
 """Registered queries, grouped by family; importing a module registers its queries."""
 
-from . import base, monthly, customer, pricing, product, scoring, insights, datasets, quality, actions, forecast, evaluate  # noqa: F401
+from . import base, monthly, customer, pricing, product, scoring, insights, datasets, places, quality, actions, forecast, evaluate  # noqa: F401
 from .registry import oracle_sql, queries  # noqa: F401

@@ -119,17 +119,6 @@ def _j13(w):
     return grouping.fuzzy_match(left, "supplier_id", "name", master, "full_name")
 
 
-@query("c27_address_regions", "SELECT n_name AS address, CASE WHEN n_name IN ('CHINA') THEN 'domestic' ELSE 'overseas' END AS kind, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
-def _c27(w):
-    from ..operators import address
-    from ..sources.fact import table
-
-    t = table(w.spark, w.folder, "customer").join(table(w.spark, w.folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    a = t.select(F.col("n_name").alias("address"))
-    r = address.resolve(a.select("address").distinct(), "address", extra_places={"CHINA": ("China", "")})
-    return a.join(r, "address").groupBy("address", F.when(F.col("abroad"), "overseas").otherwise("domestic").alias("kind")).agg(F.count("*").alias("customers"))
-
-
 # --- sources and sinks: written once to the shared folder and read back -------------------------------------
 def _io(w):
     from ..functions.settle import shared_dir

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.core import dbl, scalar_int
+from ..functions.distribution import quantiles
 from ..functions.settle import settle
 from ..operators import forecast as ops
+from ..operators import smoothing
 from .registry import cte, query
 from .sqlbits import LM, clip, cnt, d, ratio, tot, win
 
@@ -132,15 +134,33 @@ cte("m_bt", "SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY rou
 query("f21_method_selection", "SELECT product_line, method, wape, rank FROM m_bt", "wape")(lambda w: ops.monthly_backtest(_months(w), LINE))
 
 
-@query("f20_monthly_methods")
-def _f20(w):
-    s = settle(_months(w))
-    return ops.next_month(s, ops.monthly_backtest(s, LINE), LINE)
+# The next month of a list of months `h` by the method of the row.
+def _trend_next(k):
+    t = f"h[-least({k}, len(h)):]"
+    n = f"CAST(len({t}) AS DOUBLE)"
+    sx, sxx = f"({n}*({n}-1)/2)", f"(({n}-1)*{n}*(2*{n}-1)/6)"
+    slope = f"(({n}*list_sum(list_transform({t}, lambda x, i: x*(i-1))) - {sx}*list_sum({t}))/({n}*{sxx} - {sx}*{sx}))"
+    return f"CASE WHEN len({t}) >= 3 AND list_max({t}) > list_min({t}) THEN greatest((list_sum({t}) - {slope}*{sx})/{n} + {slope}*{n}, 0) ELSE list_avg({t}) END"
 
 
-query("f24_confidence_tiers", f"SELECT tier, count(*) AS series, sum(revenue) AS revenue, sum(revenue)/(SELECT {d('sum(revenue)')} FROM fact WHERE {win(12)}) AS share FROM (SELECT product_line, CASE WHEN wape <= 0.15 THEN 'A' WHEN wape <= 0.25 THEN 'B' ELSE 'C' END AS tier FROM m_bt WHERE rank = 1) JOIN (SELECT product_line, {d('sum(revenue)')} AS revenue FROM fact WHERE {win(12)} GROUP BY 1) USING (product_line) GROUP BY 1", "revenue share")(
-    lambda w: ops.confidence_tiers(ops.monthly_backtest(_months(w), LINE), w.fact("product_line", "month_idx", "revenue", months=12).groupBy("product_line").agg(dbl(F.sum("revenue")).alias("revenue")), LINE)
-)
+_YEAR_AGO = "CASE WHEN len(h) >= 12 THEN h[-12] ELSE list_avg(h) END"
+_NEXT = f"""CASE method WHEN 'naive' THEN h[-1] {' '.join(f"WHEN 'ma{k}' THEN list_avg(h[-least({k}, len(h)):])" for k in (3, 6, 12))} WHEN 'snaive' THEN {_YEAR_AGO}
+  WHEN 'yoy_adj' THEN {_YEAR_AGO} * CASE WHEN len(h) >= 24 AND list_sum(h[-24:-13]) > 100000 THEN list_sum(h[-12:])/list_sum(h[-24:-13]) ELSE 1 END {' '.join(f"WHEN 'trend{k}' THEN {_trend_next(k)}" for k in (6, 12))} END"""
+cte("m_hist", "SELECT product_line, method, wape, h FROM (SELECT product_line, list(v ORDER BY i) AS h FROM m_line GROUP BY 1) JOIN m_bt USING (product_line) WHERE rank = 1")
+query("f20_monthly_methods", f"SELECT product_line, method, wape, {_NEXT} AS forecast FROM m_hist", "wape forecast")(lambda w: ops.next_month(_months(w), ops.monthly_backtest(_months(w), LINE), LINE))
+
+
+def _category_months(w):
+    return ops.monthly_series(w.fact("category", "month_idx", "revenue"), ["category"], _first(w), w.latest)
+
+
+def _revenue(w, key, months):
+    return w.fact(key, "month_idx", "revenue", months=months).groupBy(key).agg(dbl(F.sum("revenue")).alias("revenue"))
+
+
+cte("m_conf", f"SELECT product_line, method, wape, revenue, revenue/sum(revenue) OVER () AS share, CASE WHEN wape <= 0.15 THEN 'A' WHEN wape <= 0.25 THEN 'B' ELSE 'C' END AS tier FROM m_bt JOIN (SELECT product_line, {d('sum(revenue)')} AS revenue FROM fact WHERE {win(20)} GROUP BY 1) USING (product_line) WHERE rank = 1")
+query("f24_line_confidence", "SELECT * FROM m_conf", "wape revenue share")(lambda w: ops.line_confidence(ops.monthly_backtest(_months(w), LINE), _revenue(w, "product_line", 20), LINE))
+query("f24_confidence_tiers", "SELECT tier, count(*) AS series, sum(revenue) AS revenue, sum(share) AS share FROM m_conf GROUP BY 1", "revenue share")(lambda w: ops.confidence_tiers(ops.monthly_backtest(_months(w), LINE), _revenue(w, "product_line", 20), LINE))
 
 
 def _company(w):
@@ -152,27 +172,55 @@ def _festival(w):
     return {y: y * 12 + 2 for y in range((w.latest - 1) // 12 - 8, (w.latest - 1) // 12 + 3)}
 
 
-query("f22_company_forecast")(lambda w: ops.company_forecast(_company(w), _festival(w)))
+cte("co_month", f"SELECT month_idx, {d('sum(revenue)')} AS v FROM fact GROUP BY 1")
+cte("co_past", "SELECT list(v ORDER BY month_idx) AS past, max(month_idx) AS m1 FROM co_month")
+_MEAN6 = "list_avg(h[-least(6, len(h)):])"
+cte("co_ahead", f"""WITH RECURSIVE r AS (
+    SELECT 0 AS step, past AS h, CAST(NULL AS INT) AS month_idx, CAST(NULL AS DOUBLE) AS forecast, '' AS rule FROM co_past
+    UNION ALL
+    SELECT step, list_append(h, f) AS h, m AS month_idx, f AS forecast, rule FROM (
+      SELECT step, h, m, rule, CASE rule WHEN 'festival' THEN h[-1]*0.53 WHEN 'ma6' THEN {_MEAN6} ELSE list_aggregate([{_MEAN6}*1.17, ago*list_sum(h[-12:])/greatest(list_sum(h[-24:-13]), 1), CASE WHEN earlier > 0 THEN earlier*power(ago/earlier, 1.5) END], 'median') END AS f
+      FROM (SELECT step + 1 AS step, h, CAST(m1 + step + 1 AS INT) AS m, CASE (m1 + step + 1) % 12 WHEN 2 THEN 'festival' WHEN 1 THEN 'pre_festival' ELSE 'ma6' END AS rule, past[len(past) - 11 + step] AS ago, past[len(past) - 35 + step] AS earlier FROM r, co_past WHERE step < 12)))
+  SELECT step, month_idx, forecast, rule FROM r WHERE step > 0""")
+query("f22_company_forecast", "SELECT month_idx, forecast, rule FROM co_ahead", "forecast")(lambda w: ops.company_forecast(_company(w), _festival(w)))
+
+
+def _anchor(w):
+    return ops.company_forecast(_company(w), _festival(w)).select((F.col("month_idx") - w.latest).alias("step"), F.col("forecast").alias("anchor"))
+
+
+def _ahead(key, hist):
+    """Twelve months of each series by its method, every month appended to its list, then scaled to the company."""
+    return f"""SELECT {key}, method, wape, step, forecast, forecast*CASE WHEN sum(forecast) OVER (PARTITION BY step) > 0 THEN anchor/sum(forecast) OVER (PARTITION BY step) ELSE 1 END AS reconciled, anchor FROM (
+    WITH RECURSIVE r AS (SELECT {key}, method, wape, 0 AS step, h, CAST(NULL AS DOUBLE) AS forecast FROM {hist} UNION ALL SELECT {key}, method, wape, step + 1 AS step, list_append(h, {_NEXT}) AS h, {_NEXT} AS forecast FROM r WHERE step < 12)
+    SELECT {key}, method, wape, step, forecast FROM r WHERE step > 0) JOIN (SELECT step, forecast AS anchor FROM co_ahead) USING (step)"""
+
 
+query("f23_reconciled_detail", _ahead("product_line", "m_hist"), "wape forecast reconciled anchor")(lambda w: ops.detail_forecast(_months(w), LINE, _anchor(w)))
+cte("mc_line", f"SELECT category AS product_line, m AS month_idx, coalesce({d('sum(revenue)')}, 0) AS v, row_number() OVER (PARTITION BY category ORDER BY m) AS i FROM (SELECT DISTINCT category FROM fact) CROSS JOIN (SELECT CAST(unnest(range((SELECT min(month_idx) FROM fact), {LM} + 1)) AS INT) AS m) LEFT JOIN (SELECT category, month_idx AS m, revenue FROM fact) f USING (category, m) GROUP BY 1, 2")
+cte("mc_bt", "SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(wape, 10) NULLS LAST, o) AS rank FROM (SELECT product_line, method, o, CASE WHEN sum(v) > 0 THEN sum(abs(p-v))/sum(v) END AS wape FROM (" + " UNION ALL ".join(f"SELECT product_line, i, v, {x} AS p, '{m}' AS method, {o} AS o FROM mc_line" for o, (m, x) in enumerate(_MS.items())) + ") WHERE i > (SELECT max(i) FROM mc_line) - 20 AND i >= 13 GROUP BY 1, 2, 3)")
+cte("mc_hist", "SELECT product_line AS category, method, wape, h FROM (SELECT product_line, list(v ORDER BY i) AS h FROM mc_line GROUP BY 1) JOIN mc_bt USING (product_line) WHERE rank = 1")
 
-@query("f23_reconciled_detail")
-def _f23(w):
-    s = settle(_months(w))
-    detail = ops.next_month(s, ops.monthly_backtest(s, LINE), LINE).withColumn("step", F.lit(1))
-    anchor = ops.company_forecast(_company(w), _festival(w), 1).select(F.lit(1).alias("step"), F.col("forecast").alias("anchor"))
-    return ops.reconcile_to_total(detail, anchor)
 
+@query("f23_category_detail", f"""SELECT coalesce(kept, 'other') AS category, step, sum(forecast) AS forecast, sum(reconciled) AS reconciled, count(*) AS series FROM ({_ahead('category', 'mc_hist')}) LEFT JOIN (SELECT category AS kept FROM fact WHERE {win(12)} GROUP BY 1 ORDER BY sum(revenue) DESC, 1 LIMIT 3) ON kept = category GROUP BY 1, 2""", "forecast reconciled")
+def _f23c(w):
+    return ops.largest_and_rest(ops.detail_forecast(_category_months(w), ["category"], _anchor(w)), _revenue(w, "category", 12), "category", 3)
 
-@query("f25_bootstrap_interval")
-def _f25(w):
-    from pyspark.sql import Window
 
+cte("co_ratio", "SELECT v/p AS ratio FROM (SELECT month_idx, v, avg(v) OVER (ORDER BY month_idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS p FROM co_month) WHERE month_idx > (SELECT m1 FROM co_past) - 20 AND p > 0")
+
+
+def _past_ratios(w):
+    """Actual over the mean of the six months before, for the last 20 months."""
     m = _company(w)
-    p = F.avg("revenue").over(Window.partitionBy(F.lit(0)).orderBy("month_idx").rowsBetween(-6, -1))
-    r = m.withColumn("p", p).filter((F.col("month_idx") > w.latest - 20) & (F.col("p") > 0)).select((F.col("revenue") / F.col("p")).alias("ratio"))
-    f = ops.company_forecast(m, _festival(w)).select((F.col("month_idx") - w.latest).alias("step"), "forecast")
-    return ops.bootstrap_interval(r, f)
+    before = m.select(F.explode(F.sequence(F.col("month_idx") + 1, F.col("month_idx") + 6)).alias("month_idx"), "revenue").groupBy("month_idx").agg(F.avg("revenue").alias("p"))
+    return m.join(before, "month_idx").filter((F.col("month_idx") > w.latest - 20) & (F.col("p") > 0)).select((F.col("revenue") / F.col("p")).alias("ratio"))
+
 
+query("f25_bootstrap_interval", """SELECT quantile_cont(s, 0.1) AS p10, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.9) AS p90 FROM (
+    SELECT id, sum(forecast*a[CAST(floor(CAST('0x' || substr(md5('42:' || id || ':' || step), 1, 8) AS BIGINT)*len(a)/4294967296.0) AS INT) + 1]) AS s FROM (SELECT unnest(range(4000)) AS id), co_ahead, (SELECT list(ratio ORDER BY ratio) AS a FROM co_ratio) GROUP BY 1)""", "p10 p50 p90")(
+    lambda w: ops.bootstrap_interval(_past_ratios(w), _anchor(w).withColumnRenamed("anchor", "forecast"))
+)
 
 query("s08_long_history", f"SELECT product_line, month_idx, {d('sum(revenue)')} AS revenue FROM fact GROUP BY 1, 2", "revenue")(
     lambda w: (lambda f: f.filter(F.col("month_idx") <= w.latest - 24).unionByName(f.filter(F.col("month_idx") > w.latest - 24)).groupBy("product_line", "month_idx").agg(dbl(F.sum("revenue")).alias("revenue")))(w.fact("product_line", "month_idx", "revenue"))
@@ -190,8 +238,15 @@ query("f38_intermittency", f"""SELECT *, active_share < 0.5 AS intermittent, act
   SELECT product_id, count(*) FILTER (WHERE qr < 4 AND q > 0) AS active_quarters, stddev_samp(CASE WHEN q > 0 THEN q END)/avg(CASE WHEN q > 0 THEN q END) AS cv FROM (SELECT product_id, ({LM} - month_idx)//3 AS qr, {d('sum(qty)')} AS q FROM fact WHERE {win(36)} GROUP BY 1, 2) GROUP BY 1) USING (product_id)""", "active_share cv")(
     lambda w: ops.intermittency(w.fact("product_id", "month_idx", "qty", months=36), "product_id", w.latest)
 )
-query("f16_ets")(lambda w: ops.ets(_months(w), LINE, h=3))
-query("f19_customer_forecast")(lambda w: ops.ets(ops.monthly_series(w.fact("customer_id", "month_idx", "revenue", months=36), ["customer_id"], w.latest - 35, w.latest), ["customer_id"], h=3))
+query("f16_ets")(lambda w: smoothing.ets(_months(w), LINE, h=3, period=12))
+
+
+@query("f19_customer_forecast")
+def _f19(w):
+    bought = w.fact("customer_id", "month_idx", "revenue").groupBy("customer_id", "month_idx").agg(dbl(F.sum("revenue")).alias("revenue"))
+    return ops.customer_forecast(bought, w.latest)
+
+
 query("f17_weighted_ma", f"SELECT customer_id, greatest((y1 + 2*y2 + 3*y3)/6 + (y3-y1)/2*0.5, 0) AS forecast FROM (SELECT customer_id, {', '.join(f'{tot('revenue', f'month_idx = {LM} - {3 - i}')} AS y{i}' for i in (1, 2, 3))} FROM fact WHERE {win(36)} GROUP BY 1)", "forecast")(
     lambda w: ops.monthly_series(w.fact("customer_id", "month_idx", "revenue", months=36), ["customer_id"], w.latest - 35, w.latest).select("customer_id", ops.weighted_ma(F.col("v")).alias("forecast"))
 )
@@ -334,14 +389,7 @@ def _f41(w):
     return ops.granularity({"line": line, "product": _leaf(w, "product_line", "product_id"), "product_customer": _leaf(w, "product_line", "product_id", "customer_id")}, line)
 
 
-@query("b46_forecast_dataset")
-def _b46(w):
-    from pyspark.sql import Window
-
-    from ..functions.distribution import quantiles
-
-    m = settle(_company(w))
-    p = F.avg("revenue").over(Window.partitionBy(F.lit(0)).orderBy("month_idx").rowsBetween(-6, -1))
-    r = m.withColumn("p", p).filter((F.col("month_idx") > w.latest - 20) & (F.col("p") > 0)).select((F.col("revenue") / F.col("p")).alias("ratio"))
-    band = quantiles(r, [], "ratio", {"p10": 0.1, "p90": 0.9})
-    return ops.forecast_dataset(m, ops.company_forecast(m, _festival(w)), band, 36)
+query("b46_forecast_dataset", f"""SELECT month_idx, v AS value, 'actual' AS kind, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM co_month WHERE month_idx > {LM} - 36
+  UNION ALL SELECT month_idx, forecast, 'forecast', forecast*lo, forecast*hi FROM co_ahead, (SELECT quantile_cont(ratio, 0.1) AS lo, quantile_cont(ratio, 0.9) AS hi FROM co_ratio)""", "value low high")(
+    lambda w: ops.forecast_dataset(_company(w), ops.company_forecast(_company(w), _festival(w)), quantiles(_past_ratios(w), [], "ratio", {"p10": 0.1, "p90": 0.9}), 36)
+)
