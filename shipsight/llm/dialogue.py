@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -94,14 +93,25 @@ def behind(costs: tuple, table: Table) -> tuple:
     return tuple(None if c is None else c - least for c in found)
 
 
-@lru_cache(1 << 16)
+#: Steps taken before: costs within SLACK are few, so there are few of them.
+AHEAD: dict[tuple, tuple[Vector, int]] = {}
+BEHIND: dict[tuple, tuple] = {}
+
+
 def ahead_of_turn(vector: Vector, code: int) -> tuple[Vector, int]:
-    return ahead(vector, EDITS[code])
+    known = AHEAD.get((vector, code))
+    if known is None:
+        known = AHEAD[vector, code] = ahead(vector, EDITS[code])
+    return known
 
 
-@lru_cache(1 << 16)
 def behind_turn(costs: tuple, code: int) -> tuple:
-    return behind(costs, EDITS[code])
+    known = BEHIND.get((costs, code))
+    if known is None:
+        known = behind(costs, EDITS[code])
+        if len(BEHIND) < 1 << 16:
+            BEHIND[costs, code] = known
+    return known
 
 
 def only(state: int) -> tuple:
