@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -334,31 +333,25 @@ def sales_profile(portrait: DataFrame, losses: DataFrame | None = None, today_mo
 def association_rules(rows: DataFrame, basket_cols, item: str, min_support: float = 0.02, min_confidence: float = 0.15, min_basket: int = 2) -> DataFrame:
     """Directed item pairs with support, confidence, lift, leverage and conviction over baskets of two or more items.
 
-    Pairs come from FP-growth, which counts frequent pairs through prefix trees instead of emitting all pairs of a
-    basket. Items under the support are dropped first: a frequent pair has two frequent items, and at most
-    (mean basket size / support) items are frequent, so a basket's list stays bounded.
+    Pairs are counted directly. Items under the support are dropped first: a frequent pair has two frequent items, and at most
+    (mean basket size / support) items are frequent. Each item of a basket is joined to the basket's list, ordered by rarity,
+    and paired with the less rare items after it, so a long basket is spread over as many rows as it has items, and counts are
+    summed before the shuffle. Rows with a null basket column or item are left out; repeated items of a basket count once.
     """
-    basket = F.struct(*[F.col(c) for c in basket_cols]) if len(basket_cols) > 1 else F.col(basket_cols[0])
-    pairs = settle(rows.select(basket.alias("b"), F.col(item).alias("i")).filter(F.col("i").isNotNull()).distinct())
-    size = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_basket)
-    pairs = settle(pairs.join(size.select("b"), "b", "left_semi"))
-    total = pairs.agg(F.count_distinct("b").alias("t")).first()["t"]
-    counts = pairs.groupBy("i").agg(F.count("*").alias("n"))
-    frequent = counts.filter(F.col("n") >= min_support * total)
-    lists = pairs.join(frequent.select("i"), "i", "left_semi").groupBy("b").agg(F.collect_list("i").alias("items")).filter(F.size("items") >= 2)
-    # The support is relative to all baskets of two or more items, the model sees only those left after pruning.
-    lists = settle(lists)
-    seen = lists.count()
-    schema = f"struct<a:{pairs.schema['i'].dataType.simpleString()},b:{pairs.schema['i'].dataType.simpleString()},n:bigint>"
-    if not seen:
-        found = pairs.limit(0).select(F.from_json(F.lit("{}"), schema).alias("p")).select("p.*")
-    else:
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support * total - 0.5, 0.5) / seen)).fit(lists)
-        sets = model.freqItemsets.filter((F.size("items") == 2) & (F.col("freq") >= min_support * total))
-        found = sets.select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), F.col("freq").alias("n"))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    keys = [f"_b{i}" for i in range(len(basket_cols))]
+    pairs = rows.select(*[F.col(c_).alias(k) for c_, k in zip(basket_cols, keys)], F.col(item).alias("i")).na.drop().distinct()
+    baskets = pairs.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_basket).select(*keys)
+    pairs = pairs.join(baskets, keys, "left_semi")
+    total = baskets.agg(F.count("*")).scalar()
+    counts = pairs.groupBy("i").agg(F.count("*").alias("n")).withColumn("t", total)
+    often = F.col("n") >= F.col("t") * min_support
+    kept = pairs.join(counts.filter(often).select("i", "n"), "i").select(*keys, F.struct("n", "i").alias("x"))
+    lists = kept.groupBy(*keys).agg(F.collect_list("x").alias("items"))
+    after = kept.join(lists, keys).select(F.col("x.i").alias("a"), F.explode(F.filter("items", lambda y: y > F.col("x"))).alias("y"))
+    found = after.groupBy("a", F.col("y.i").alias("b")).agg(F.count("*").alias("n")).withColumn("t", total).filter(often)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "t"))
     j = both.join(counts.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
-    t = F.lit(float(total))
+    t = dbl("t")
     sup, conf, sa, sb = F.col("n") / t, F.col("n") / F.col("na"), F.col("na") / t, F.col("nb") / t
     return j.filter(conf >= min_confidence).select(
         F.col("a").alias("item"), F.col("b").alias("with_item"), sup.alias("support"), conf.alias("confidence"), (conf / sb).alias("lift"), (sup - sa * sb).alias("leverage"),
@@ -366,10 +359,10 @@ def association_rules(rows: DataFrame, basket_cols, item: str, min_support: floa
     )
 
 
-def gated_association(rows: DataFrame, basket_cols, item: str, min_rows: int = 0, **kw) -> DataFrame:
-    """Association rules; a caller may ask for none when the input has fewer than `min_rows` rows."""
-    out = association_rules(rows, basket_cols, item, **kw)
-    return out if not min_rows or rows.limit(min_rows).count() >= min_rows else out.limit(0)
+def gated_association(rows: DataFrame, basket_cols, item: str, min_rows: int = 100, **kw) -> DataFrame:
+    """Association rules of customer, month and product rows; none where the input has fewer than `min_rows` rows."""
+    enough = rows.agg(F.count("*") >= min_rows).scalar()
+    return association_rules(rows, basket_cols, item, **kw).withColumn("_enough", enough).filter("_enough").drop("_enough")
 
 
 def association_bonus(rules: DataFrame, factor: float = 5.0) -> DataFrame:

@@ -109,14 +109,23 @@ def _j12(w):
     return grouping.match_master(keys, master, ["segment"]).select("customer_id", "matched_by", "segment")
 
 
-@query("j13_fuzzy_match")
+_NOISY = "CASE s_suppkey % 6 WHEN 0 THEN replace(s_name, 'pp', 'p') WHEN 1 THEN ' ' || upper(s_name) WHEN 2 THEN s_name || ' inc' WHEN 3 THEN 'no such name ' || CAST(s_suppkey AS STRING) WHEN 4 THEN 'Co ' || CAST(s_suppkey*7919 AS STRING) WHEN 5 THEN replace(s_name, '#', '-no-') END"
+cte("sup_master", "SELECT lower(s_name || ' trading co') AS f, s_name || ' trading co' AS full_name, lower('co. ' || CAST(s_suppkey*7919 AS VARCHAR)) AS s, 'Co. ' || CAST(s_suppkey*7919 AS VARCHAR) AS short_name FROM supplier")
+cte("sup_left", f"SELECT s_suppkey AS supplier_id, lower(trim(CASE WHEN s_suppkey % 6 IN (3, 4) THEN {_NOISY} ELSE {_NOISY} || ' trading co' END)) AS a FROM supplier")
+_LCS = "list_last(list_reduce(string_split(a, ''), lambda r, x: list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(r[i], CASE WHEN i > 1 AND substr(b, i - 1, 1) = x THEN r[i-1] + 1 ELSE 0 END)))), list_transform(range(length(b) + 1), lambda z: CAST(0 AS BIGINT))))"
+
+
+@query("j13_fuzzy_match", f"""SELECT supplier_id, match, similarity, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY matched_by, round(similarity, 12) DESC, match) AS rn FROM (
+  SELECT supplier_id, match, matched_by, 2.0*{_LCS}/(length(a) + length(b)) AS similarity FROM (SELECT supplier_id, a, f AS b, full_name AS match, 'full' AS matched_by FROM sup_left, sup_master UNION ALL SELECT supplier_id, a, s, short_name, 'short' FROM sup_left, sup_master)
+  WHERE least(length(a), length(b))*2.0/(length(a) + length(b)) >= 0.85) WHERE similarity >= 0.85 - 1e-12) WHERE rn = 1""", "similarity")
 def _j13(w):
     from ..sources.fact import table
 
     t = table(w.spark, w.folder, "supplier")
-    master = t.select(F.concat(F.col("s_name"), F.lit(" trading co")).alias("full_name"))
-    left = t.select(F.col("s_suppkey").alias("supplier_id"), F.concat(F.regexp_replace("s_name", "Supplier", "Suplier"), F.lit(" trading co")).alias("name"))
-    return grouping.fuzzy_match(left, "supplier_id", "name", master, "full_name")
+    master = t.select(F.concat(F.col("s_name"), F.lit(" trading co")).alias("full_name"), F.concat(F.lit("Co. "), (F.col("s_suppkey") * 7919).cast("string")).alias("short_name"))
+    noisy = F.expr(_NOISY)
+    name = F.when((F.col("s_suppkey") % 6).isin(3, 4), noisy).otherwise(F.concat(noisy, F.lit(" trading co")))
+    return grouping.fuzzy_match(t.select(F.col("s_suppkey").alias("supplier_id"), name.alias("name")), "supplier_id", "name", master, "full_name", "short_name")
 
 
 # --- sources and sinks: written once to the shared folder and read back -------------------------------------

@@ -172,9 +172,20 @@ def _a58(w):
     return ops.association_rules(w.fact("order_id", "product_line"), ["order_id"], "product_line")
 
 
-@query("a66_gated_association", _A + "x_rules", _RD)
+cte("x_month_rules", """WITH p AS (SELECT DISTINCT customer_id, month_idx, product_id AS i FROM fact), q AS (SELECT customer_id, month_idx, i FROM (SELECT *, count(*) OVER (PARTITION BY customer_id, month_idx) AS k FROM p) WHERE k >= 2), t AS (SELECT CAST(count(DISTINCT (customer_id, month_idx)) AS DOUBLE) AS t FROM q),
+  c AS (SELECT i, count(*) AS n FROM q GROUP BY 1), pr AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM q x JOIN q y ON x.customer_id = y.customer_id AND x.month_idx = y.month_idx AND x.i <> y.i GROUP BY 1, 2)
+  SELECT a AS item, pr.b AS with_item, pr.n/t AS support, CAST(pr.n AS DOUBLE)/ca.n AS confidence, (CAST(pr.n AS DOUBLE)/ca.n)/(cb.n/t) AS lift, pr.n/t - (ca.n/t)*(cb.n/t) AS leverage,
+    CASE WHEN pr.n < ca.n THEN (1 - cb.n/t)/(1 - CAST(pr.n AS DOUBLE)/ca.n) END AS conviction, pr.n AS baskets FROM pr JOIN c ca ON ca.i = a JOIN c cb ON cb.i = pr.b, t WHERE pr.n >= 0.00015*t AND CAST(pr.n AS DOUBLE)/ca.n >= 0.01""")
+
+
+@query("a58_month_basket_rules", "SELECT * FROM x_month_rules", _RD)
+def _a58m(w):
+    return ops.association_rules(w.fact("customer_id", "month_idx", "product_id"), ["customer_id", "month_idx"], "product_id", min_support=0.00015, min_confidence=0.01)
+
+
+@query("a66_gated_association", "SELECT * FROM x_month_rules WHERE (SELECT count(*) FROM cpm) >= 100", _RD)
 def _a66(w):
-    return ops.gated_association(w.fact("order_id", "product_line"), ["order_id"], "product_line")
+    return ops.gated_association(w.customer_product_month().select("customer_id", "month_idx", "product_id"), ["customer_id", "month_idx"], "product_id", min_support=0.00015, min_confidence=0.01)
 
 
 @query("a64_association_bonus", "SELECT item, with_item, confidence, confidence*5 AS bonus FROM x_rules", "confidence bonus")

@@ -179,6 +179,25 @@ def test_association_support_uses_baskets_of_two(spark):
     assert r["c", "a"]["confidence"] == pytest.approx(0.5)
 
 
+def test_pair_counts_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(b), m, int(i)) for b in range(60) for m in range(2) for i in rng.choice(30, rng.integers(0, 12))] + [(99, 0, i) for i in range(30)] + [(None, 1, 1), (5, None, 2), (5, 1, None)]
+    got = {(x["item"], x["with_item"]): x["baskets"] for x in rows(insights.association_rules(spark.createDataFrame(data, "c int, m int, i int"), ["c", "m"], "i", min_support=0.03, min_confidence=0.0))}
+    baskets = {}
+    for c, m, i in data:
+        if None not in (c, m, i):
+            baskets.setdefault((c, m), set()).add(i)
+    baskets = [b for b in baskets.values() if len(b) >= 2]
+    want = {}
+    for b in baskets:
+        for x in b:
+            for y in b - {x}:
+                want[x, y] = want.get((x, y), 0) + 1
+    assert got == {k: n for k, n in want.items() if n >= 0.03 * len(baskets)}
+    gated = lambda n: insights.gated_association(spark.createDataFrame(data, "c int, m int, i int"), ["c", "m"], "i", min_rows=n, min_support=0.03).count()
+    assert gated(len(data)) > 0 and gated(len(data) + 1) == 0
+
+
 def test_cross_sell_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     prods = [(f"p{i:02d}", f"g{i % 4}", float(rng.integers(0, 8)), bool(rng.random() < 0.15)) for i in range(40)]
@@ -226,10 +245,11 @@ def test_revenue_shock_channel_skips_null_change(spark):
 
 @pytest.mark.parametrize("text,region,abroad", [
     ("广东省深圳市南山区科技园", "广东", False), ("深圳市宝安区", "广东", False), ("收货地址：江苏省苏州市", "江苏", False), ("FOB HONG KONG", "香港", True), ("香港九龙", "香港", True),
-    ("SEOUL KOREA", "韩国", True), ("Unit 5 Some Road", "海外", True), ("123", "unknown", False), (None, "unknown", False), ("台湾新竹", "台湾", True),
+    ("SEOUL KOREA", "韩国", True), ("Unit 5 Some Road", "overseas", True), ("123", "unknown", False), (None, "unknown", False), ("台湾新竹", "台湾", True),
 ])
 def test_address_rules(spark, text, region, abroad):
-    r = rows(address.resolve(spark.createDataFrame([(text,)], "address string")))[0]
+    places = [("province", 1, "广东", "广东", "", False), ("province", 2, "江苏", "江苏", "", False), ("city", 1, "深圳", "广东", "深圳市", False), ("place", 1, "新竹", "台湾", "新竹市", True), ("place", 2, "九龙", "香港", "九龙", True), ("place", 3, "SEOUL", "韩国", "首尔", True)]
+    r = rows(address.resolve(spark.createDataFrame([(text,)], "address string"), spark.createDataFrame(places, address.PLACES), patterns=[(2, r"HONG\s?KONG", "香港", "", True)], prefixes=["收货地址："]))[0]
     assert (r["region"], r["abroad"]) == (region, abroad)
 
 
@@ -251,20 +271,38 @@ def test_fuzzy_match_is_exhaustive(spark):
             rnd.choice([lambda: s.__setitem__(i, "x"), lambda: s.insert(i, "y"), lambda: len(s) > 3 and s.pop(i)])()
         return "".join(s)
     left = [(i, damage(rnd.choice(full))) for i in range(60)]
-    got = {r["i"]: r["similarity"] for r in grouping.fuzzy_match(spark.createDataFrame(left, "i int, n string"), "i", "n", spark.createDataFrame([(f,) for f in full], "f string"), "f").collect()}
-
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
+    left += [(100, None), (101, "  "), (102, "a"), (103, "ab"), (104, "😀😀x")]
+    full += ["a", "abc", "😀😀xy", "😀😀x "]
+    got = {r["i"]: (r["similarity"], r["match"]) for r in grouping.fuzzy_match(spark.createDataFrame(left, "i int, n string"), "i", "n", spark.createDataFrame([(f,) for f in full], "f string"), "f").collect()}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = 0
             for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
         return row[-1]
 
-    for i, n in left:
-        n = n.strip().lower()
-        best = max(1 - lev(n, f) / max(len(n), len(f)) for f in full)
-        assert got.get(i) == (pytest.approx(best) if best >= 0.85 else None)
+    for ratio in (0.85, 0.6):
+        got = {r["i"]: (r["similarity"], r["match"]) for r in grouping.fuzzy_match(spark.createDataFrame(left, "i int, n string"), "i", "n", spark.createDataFrame([(f,) for f in full], "f string"), "f", ratio=ratio).collect()}
+        for i, n in left:
+            n = (n or "").strip().lower()
+            scored = sorted((-2 * common(n, f.strip()) / (len(n) + len(f.strip())), f) for f in full) if n else [(0, "")]
+            assert got.get(i) == ((pytest.approx(-scored[0][0]), scored[0][1]) if -scored[0][0] >= ratio else None)
+
+
+def test_names_with_a_common_suffix_make_few_candidates(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) + " co ltd" for _ in range(600)]
+    frame = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    known = grouping._letter_pairs(frame(names))
+    pairs = grouping._signatures(known, 0.85, True).withColumnRenamed("name", "a").join(grouping._signatures(known, 0.85, False).withColumnRenamed("name", "b"), ["la", "lb", "sign"]).select("a", "b").distinct().filter("a <> b").count()
+    assert pairs < 0.05 * len(names) ** 2  # the suffix alone would pair all
+    off = [n[:5] + n[6:] for n in names]
+    got = {(r.a, r.b) for r in grouping.similar_names(frame(off), frame(names)).collect()}
+    assert set(zip(off, names)) <= got
 
 
 def test_forecast_methods_match_numpy(spark):
