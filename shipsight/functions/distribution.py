@@ -1,11 +1,11 @@
 """Exact order statistics that never put one key's rows into one task.
 
 Running sums, ranks and quantiles need an order inside each key. A plain window would sort a whole key in one
-task, and `percentile` would hold it in one buffer. Here the input is first collapsed to distinct (key, value)
-rows and written once. Small inputs (a checked row count) use a plain window. Larger ones are cut along the
-(key, value) order into ranges at splitters taken from a hash-chosen sample; each range is sorted on its own and
-the totals of the ranges before it are added. The sample depends only on the data, so a recomputed task finds
-the same splitters.
+task, and `percentile` would hold it in one buffer. Here the input is collapsed to distinct (key, value) rows, cut along the
+(key, value) order into ranges at splitters taken from a hash-chosen sample; each range is sorted on its own and the totals of
+the ranges before it are added. Every size takes this one path: the size of the input and the splitters are scalar subqueries
+over the collapsed rows, which are written once, so that plans do not nest. The sample depends only on the data, so a
+recomputed task finds the same splitters.
 """
 
 from __future__ import annotations
@@ -17,76 +17,64 @@ from .core import c, cases, dbl
 from .settle import settle
 
 RANGES = 64
-SPLIT_OVER = 2_000_000
+#: Sampled positions per range.
+SAMPLED = 32
 
 
-def _plain(df: DataFrame, keys, order, weights) -> DataFrame:
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.select(
-        "*",
-        *[F.coalesce(F.sum(c(w)).over(before), F.lit(0)).alias(f"{n}_before") for n, w in weights.items()],
-        *[F.sum(c(w)).over(part).alias(f"{n}_total") for n, w in weights.items()],
-    )
+def _splitters(df: DataFrame, pos: Column, ranges: int) -> Column:
+    """At most `ranges` - 1 ascending positions that cut the rows into about equal ranges, as a scalar subquery."""
+    step = F.greatest(F.floor(df.agg(F.count("*")).scalar() / (ranges * SAMPLED)), F.lit(1))
+    sample = df.select(pos.alias("p")).filter(F.pmod(F.xxhash64("p"), step) == 0).agg(F.sort_array(F.collect_list("p")).alias("s"))
+    nth = lambda i: F.element_at("s", F.floor(i * F.size("s") / ranges).cast("int") + 1)
+    cuts = F.when(F.size("s") >= ranges, F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), nth)).otherwise(F.slice("s", 1, 0))
+    # One row with the sorted sample; `inline` keeps the optimizer from sorting it anew for each cut.
+    return sample.select(F.inline(F.array(F.struct("s")))).select(cuts).scalar()
 
 
-def _ranged(df: DataFrame, keys, order, weights, n_rows: int, ranges: int) -> DataFrame:
-    pos = F.struct(*[F.col(k) for k in keys + order])
-    step = max(1, n_rows // (ranges * 64))
-    sample = df.select(pos.alias("p")).filter(F.pmod(F.xxhash64(*[F.col(k) for k in keys + order]), F.lit(step)) == 0)
-    # About 64 sampled positions per range, whatever the input size.
-    cuts = (
-        sample.agg(F.array_sort(F.collect_list("p")).alias("s"))
-        .select(
-            F.when(
-                F.size("s") >= ranges,
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(ranges - 1)),
-                    lambda i: F.element_at("s", F.floor(i * F.size("s") / ranges).cast("int") + 1),
-                ),
-            ).otherwise(F.slice("s", 1, 0)).alias("cuts")
-        )
-        .scalar()
-    )
-    placed = (
-        df.select("*", *[c(w).alias(f"{n}_w") for n, w in weights.items()])
-        .withColumn("_cuts", cuts)
-        .withColumn("_rng", F.size(F.filter("_cuts", lambda x: x < pos)))
-        .drop("_cuts")
-    )
-    totals = placed.groupBy(*keys, "_rng").agg(*[F.sum(f"{n}_w").alias(f"{n}_rw") for n in weights])
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def _below(cuts: Column, pos: Column, ranges: int) -> Column:
+    """How many of the ascending cuts lie under a position, by halving."""
+    steps = [1 << i for i in reversed(range(max(ranges - 1, 1).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, step: F.when(F.try_element_at(cuts, i + step) < pos, i + step).otherwise(i))
+
+
+def _borders(placed: DataFrame, keys: list[str], names: list[str]) -> Column:
+    """For keys that a cut runs through, what their earlier ranges and all their ranges hold: range -> entries, at most two.
+
+    Ranges follow the (key, value) order, so only the keys of cuts lie in several ranges: a bounded table, a scalar subquery.
+    """
+    key = F.struct(F.lit(0).alias("_"), *keys)
+    cut = F.exists("_cuts", lambda x: F.struct(F.lit(0).alias("_"), *[x[k].alias(k) for k in keys]) == key) if keys else F.lit(True)
+    totals = placed.filter(cut).groupBy(key.alias("key"), "_rng").agg(*[F.sum(f"{n}_w").alias(n) for n in names])
+    per_key = Window.partitionBy("key")
     earlier = per_key.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_rng",
-        *[F.coalesce(F.sum(f"{n}_rw").over(earlier), F.lit(0)).alias(f"{n}_off") for n in weights],
-        *[F.sum(f"{n}_rw").over(per_key).alias(f"{n}_total") for n in weights],
-    )
-    inside = Window.partitionBy("_rng", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ordered = placed.select(
-        "*", *[F.coalesce(F.sum(f"{n}_w").over(inside), F.lit(0)).alias(f"{n}_in") for n in weights]
-    ).join(offsets, [*keys, "_rng"])
-    return ordered.select(
-        *df.columns,
-        *[(F.col(f"{n}_in") + F.col(f"{n}_off")).alias(f"{n}_before") for n in weights],
-        *[f"{n}_total" for n in weights],
-    )
+    entry = F.struct("key", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_off") for n in names], *[F.sum(n).over(per_key).alias(f"{n}_all") for n in names])
+    by_range = totals.select("_rng", entry.alias("e")).groupBy("_rng").agg(F.collect_list("e").alias("entries"))
+    return by_range.agg(F.map_from_entries(F.collect_list(F.struct("_rng", "entries")))).scalar()
 
 
-def running(
-    df: DataFrame, keys, order, weights: dict[str, Column | str], ranges: int = RANGES, split_over: int = SPLIT_OVER
-) -> DataFrame:
+def running(df: DataFrame, keys, order, weights: dict[str, Column | str], ranges: int = RANGES) -> DataFrame:
     """Add `<name>_before` (sum over earlier rows of the key) and `<name>_total` for each weight.
 
     `order` lists ascending columns; (keys, order) must be unique. The input is written once (see `settle`).
     """
-    keys, order = list(keys), list(order)
+    keys, order, names = list(keys), list(order), list(weights)
     df = settle(df)
-    n = df.count()
-    if n <= split_over:
-        return _plain(df, keys, order, weights)
-    return _ranged(df, keys, order, weights, n, ranges)
+    pos = F.struct(*[F.col(k) for k in keys + order])
+    weighed = df.select("*", *[c(w).alias(f"{n}_w") for n, w in weights.items()])
+    placed = weighed.withColumn("_cuts", _splitters(df, pos, ranges)).withColumn("_rng", _below(F.col("_cuts"), pos, ranges))
+    part = Window.partitionBy("_rng", *keys)
+    inside = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = placed.drop("_cuts").select(
+        "*", *[F.coalesce(F.sum(f"{n}_w").over(inside), F.lit(0)).alias(f"{n}_in") for n in names], *[F.sum(f"{n}_w").over(part).alias(f"{n}_rw") for n in names]
+    )
+    key = F.struct(F.lit(0).alias("_"), *keys)
+    entry = F.try_element_at(F.filter(F.try_element_at(F.col("_map"), F.col("_rng")), lambda e: e["key"] == key), F.lit(1))
+    found = ordered.withColumn("_map", _borders(placed, keys, names)).withColumn("_e", entry)
+    return found.select(
+        *df.columns,
+        *[(F.col(f"{n}_in") + F.coalesce(F.col(f"_e.{n}_off"), F.lit(0))).alias(f"{n}_before") for n in names],
+        *[F.coalesce(F.col(f"_e.{n}_all"), F.col(f"{n}_rw")).alias(f"{n}_total") for n in names],
+    )
 
 
 def _edge(name: str, p: float, before: str, count: str, total: str, value: str):
@@ -132,15 +120,18 @@ def pct_rank(df: DataFrame, keys, value: str, out: str, **kw) -> DataFrame:
 
 
 def equal_depth(
-    df: DataFrame, keys, value: str, out: str, n: int = 5, ascending: bool = True, dense: bool = True, **kw
+    df: DataFrame, keys, value: str, out: str, n: int = 5, ascending: bool = True, dense: bool = True, of: DataFrame | None = None, **kw
 ) -> DataFrame:
     """Score 1..n by equal-depth bins of the value's dense rank (or the value itself).
 
+    `of` is the frame whose values make the bins, `df` unless given: where several scores are added to one frame, each
+    takes its bins from the frame as it was, so that plans don't nest.
+
     Bin edges are linear-interpolated quantiles, closed on the right. The middle score is given when edges
     coincide and to missing values. `ascending` means larger values score higher.
     """
     keys = list(keys)
-    r = running(histogram(df, keys, value), keys, ["_v"], {"d": F.lit(1), "w": "_n"}, **kw)
+    r = running(histogram(df if of is None else of, keys, value), keys, ["_v"], {"d": F.lit(1), "w": "_n"}, **kw)
     r = r.withColumn("_x", dbl(F.col("d_before") + 1) if dense else dbl("_v"))
     names = {f"_e{i}": i / n for i in range(n + 1)}
     aggs = [a for name, p in names.items() for a in _edge(name, p, "w_before", "_n", "w_total", "_x")]

@@ -49,9 +49,9 @@ def rfm(fact: DataFrame, churn_days: int = 90) -> DataFrame:
     g = fact.groupBy("customer_id").agg(
         F.datediff(last, F.max("ship_date")).alias("recency"), F.count_distinct("ship_date").alias("frequency"), dbl(F.sum("revenue")).alias("money")
     )
-    g = settle(g)
+    g = base = settle(g)
     for col, up in (("recency", False), ("frequency", True), ("money", True)):
-        g = equal_depth(g, [], col, f"{col[0]}_score", ascending=up, dense=False)
+        g = equal_depth(g, [], col, f"{col[0]}_score", ascending=up, dense=False, of=base)
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     seg = cases(
         ((r >= 4) & (f >= 4) & (m >= 4), "key_value"), ((r >= 4) & (f >= 4), "key_develop"), ((f >= 4) & (m >= 4), "key_keep"),
@@ -69,9 +69,9 @@ def rfm_pi(portrait: DataFrame, weights=RFM_PI_WEIGHTS, default=(0.3, 0.2, 0.3,
     With `by_channel` each channel is scored in its own pool, otherwise all customers share one pool and the default weights.
     """
     keys = ["channel"] if by_channel else []
-    g = settle(portrait.select("customer_id", "channel", "days_since", "interval_days", "profit_12m", "new_share"))
+    g = base = settle(portrait.select("customer_id", "channel", "days_since", "interval_days", "profit_12m", "new_share"))
     for col, out, up in (("days_since", "r", False), ("interval_days", "f", False), ("profit_12m", "m", True), ("new_share", "p", True)):
-        g = equal_depth(g, keys, col, f"{out}_score", ascending=up)
+        g = equal_depth(g, keys, col, f"{out}_score", ascending=up, of=base)
     known = weights if by_channel else {}
     total = sum(
         (cases(*[(F.col("channel") == ch, float(w[i])) for ch, w in known.items()], default=default[i]) if known else F.lit(default[i])) * F.col(f"{x}_score")

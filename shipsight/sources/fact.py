@@ -157,19 +157,7 @@ class Warehouse:
 
 
 class StoredWarehouse(Warehouse):
-    """Warehouse that joins the star once: cleaned rows, monthly tables and attributes are settled on first use."""
-
-    ROW_COLUMNS = (
-        "ship_date", "month", "month_idx", "order_id", "line_no", "customer_id", "product_id", "product_line", "category", "is_new",
-        "owner", "region", "channel", "tier", *Warehouse.MONEY,
-    )
-
-    @cached_property
-    def _rows(self) -> DataFrame:
-        return settle(super().fact(*self.ROW_COLUMNS))
-
-    def fact(self, *cols: str, months: int | None = None) -> DataFrame:
-        return self._recent(self._rows, months).select(*cols)
+    """Warehouse whose monthly tables and attributes are written once, on first use; the fact itself is read as it is."""
 
     @cached_property
     def _cm(self) -> DataFrame:

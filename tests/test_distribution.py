@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shipsight.functions import distribution as dist
 
-SPLIT = {"split_over": 10, "ranges": 8}
+SPLIT = {"ranges": 8}
 
 
 @pytest.fixture(scope="module")
