@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from itertools import product as grid_product
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c, cases, count_if, dbl, distinct_if, div, top_k, total_if
-from ..functions.distribution import equal_depth, running
+from ..functions.distribution import equal_depth, pct_rank, running
 from ..functions.settle import settle
 
 
@@ -104,8 +107,13 @@ def coverage(df: DataFrame, flagged) -> DataFrame:
     return g.agg(count_if(F.col("d")).alias("declined"), count_if(F.col("d") & F.col("f")).alias("caught")).withColumn("coverage", div("caught", "declined"))
 
 
-def fold_ranking(df: DataFrame, score: str = "risk_score", top: float = 0.2) -> DataFrame:
-    """Per fold: AUC, average precision, hit rate and lift of the top share of scores."""
+def fold_ranking(df: DataFrame, score: str = "risk_score", top: float = 0.2, target: str | None = None, factors=(), alarm: float = 65.0, highest: float = 68.0, flag: float = 55.0) -> DataFrame:
+    """Per fold: AUC, average precision, hit rate and lift of the top share of scores, and figures at the alert levels.
+
+    `f2` takes scores above `flag` as positive, `precision_highest` those above `highest`, `recall_alarm` those above `alarm`.
+    With a `target`, `spearman` is its rank correlation with the score (five rows at least). Each factor adds its own AUC (ten
+    rows at least) and the share of rows without it.
+    """
     d = settle(time_folds(df.filter(F.col(score).isNotNull() & F.col("label").isNotNull())))
     h = d.groupBy("fold", F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum("label").alias("p")).withColumn("_o", -F.col("_s"))
     r = running(h, ["fold"], ["_o"], {"n": "n", "p": "p"})
@@ -114,7 +122,31 @@ def fold_ranking(df: DataFrame, score: str = "risk_score", top: float = 0.2) ->
         div(F.sum(F.col("p") * tp / seen), F.max("p_total")).alias("average_precision"), F.sum(F.when(F.col("n_before") < F.col("n_total") * top, F.col("p"))).alias("tp"), F.sum(F.when(F.col("n_before") < F.col("n_total") * top, F.col("n"))).alias("tn"),
         F.max(div("p_total", "n_total")).alias("base"),
     )
-    return auc(d, ["fold"], score).join(g, "fold").select("fold", "samples", "positives", "auc", "average_precision", div("tp", "tn").alias("top_hit_rate"), div(div("tp", "tn"), "base").alias("top_lift"))
+    y, x = F.col("label") == 1, F.col(score)
+    hit, wrong, lost = (count_if(c_) for c_ in ((x > flag) & y, (x > flag) & ~y, (x <= flag) & y))
+    both = (F.min((x > flag).cast("int")) < F.max((x > flag).cast("int"))) & (F.min("label") < F.max("label"))
+    levels = d.groupBy("fold").agg(
+        F.when(both, div(5 * hit, 5 * hit + 4 * lost + wrong)).alias("f2"), F.avg(F.when(x > highest, dbl("label"))).alias("precision_highest"), div(count_if((x > alarm) & y), count_if(y)).alias("recall_alarm"),
+        *[F.avg(F.col(f).isNull().cast("double")).alias(f"missing_{f}") for f in factors],
+    )
+    out = auc(d, ["fold"], score).join(g, "fold").select("fold", "samples", "positives", "auc", "average_precision", div("tp", "tn").alias("top_hit_rate"), div(div("tp", "tn"), "base").alias("top_lift")).join(levels, "fold")
+    if target:
+        out = out.join(rank_correlation(d, ["fold"], score, target).withColumnRenamed("rho", "spearman"), "fold", "left")
+    for f in factors:
+        out = out.join(auc(d, ["fold"], f).select("fold", F.when(F.col("samples") >= 10, F.col("auc")).alias(f"auc_{f}")), "fold", "left")
+    return out
+
+
+def rank_correlation(df: DataFrame, keys, a: str, b: str, least: int = 5) -> DataFrame:
+    """Spearman's rank correlation of two columns per key, `rho`: the correlation of average ranks, over rows that have both.
+
+    Null with fewer than `least` rows or where a column has one value only.
+    """
+    keys = list(keys)
+    d = settle(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")))
+    ranked = pct_rank(d, keys, "_a", "_ra").join(pct_rank(d, keys, "_b", "_rb").select(*keys, "_b", "_rb").distinct(), [*keys, "_b"])
+    g = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.covar_pop("_ra", "_rb").alias("_c"), F.stddev_pop("_ra").alias("_a"), F.stddev_pop("_rb").alias("_b"))
+    return g.select(*keys, F.when(F.col("_n") >= least, div("_c", F.col("_a") * F.col("_b"))).alias("rho"))
 
 
 def fold_stability(weights: DataFrame, factors) -> DataFrame:
@@ -133,32 +165,51 @@ def factor_hypothesis(df: DataFrame, factor: str, cut: float) -> DataFrame:
     return df.filter(F.col(factor).isNotNull() & F.col("label").isNotNull()).groupBy(F.when(F.col(factor) >= cut, "high").otherwise("low").alias("side")).agg(F.count("*").alias("n"), F.avg(dbl("label")).alias("rate"))
 
 
-def pareto_frontier(results: DataFrame, objectives, keys, limit: int = 10_000) -> DataFrame:
-    """Rows of a small result grid that no other row beats on all objectives.
+def pareto_frontier(results: DataFrame, objectives, keys, ranges: int = 8) -> DataFrame:
+    """Rows that no other row beats on all objectives (as good on each, better on one); equal rows stay together.
 
-    The grid is a parameter table; its size is checked before it travels as one array.
+    Distinct objective values are cut into ranges of the first objective, highest first, so that a point can only be beaten in
+    its own range or an earlier one. Each range keeps its local frontier; then the frontier of each range meets that of every
+    earlier one, each pair of ranges in a group of its own, and what is beaten there goes. Rows with a null objective take no
+    part.
     """
-    results = settle(results)
-    if results.count() > limit:
-        raise ValueError("pareto_frontier works on parameter grids only")
-    grid = results.agg(F.collect_list(F.struct(*[dbl(o).alias(o) for o in objectives]))).scalar()
-    t = results.withColumn("_g", grid)
-    beats = lambda z: _all(z[o] >= F.col(o) for o in objectives) & _any(z[o] > F.col(o) for o in objectives)
-    return t.filter(~F.exists("_g", beats)).select(*keys, *objectives)
-
-
-def _all(conds):
-    out = None
-    for x in conds:
-        out = x if out is None else out & x
-    return out
-
-
-def _any(conds):
-    out = None
-    for x in conds:
-        out = x if out is None else out | x
-    return out
+    names = list(objectives)
+    points = results.select(*[dbl(o).alias(o) for o in names]).na.drop().distinct()
+
+    def local(frames):
+        part = TaskContext.get().partitionId()
+        kept = np.empty((0, len(names)))
+        for frame in frames:
+            kept = unbeaten(np.concatenate([kept, frame[names].to_numpy(float)]))
+        yield pd.DataFrame(kept, columns=names).assign(_part=part)
+
+    kinds = ", ".join(f"`{o}` double" for o in names)
+    front = settle(points.repartitionByRange(ranges, F.desc(names[0]), *[F.desc(o) for o in names[1:]]).mapInPandas(local, f"{kinds}, _part int"))
+    judged = front.filter("_part > 0").withColumn("_judge", F.explode(F.sequence(F.lit(0), F.col("_part") - 1)))
+    judges = front.filter(F.col("_part") < ranges - 1).withColumn("_judged", F.explode(F.sequence(F.col("_part") + 1, F.lit(ranges - 1))))
+    judges = judges.select(*names, F.col("_judged").alias("_part"), F.col("_part").alias("_judge"))
+
+    def beaten(of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        a, b = of[names].to_numpy(float), by[names].to_numpy(float)
+        lost = [bool(((b >= x).all(1) & (b > x).any(1)).any()) for x in a]
+        return of.loc[lost, names]
+
+    lost = judged.groupBy("_part", "_judge").cogroup(judges.groupBy("_part", "_judge")).applyInPandas(beaten, kinds).distinct()
+    best = front.join(lost, names, "left_anti").select(*[F.col(o).alias(f"_{o}") for o in names])
+    same = F.lit(True)
+    for o in names:
+        same = same & (dbl(o) == F.col(f"_{o}"))
+    return results.join(best, same, "left_semi").select(*keys, *names)
+
+
+def unbeaten(points: np.ndarray) -> np.ndarray:
+    """Rows that no other row beats on all columns."""
+    points = points[np.lexsort(-points.T[::-1])]  # a row is only beaten by one before it
+    kept, n = np.empty_like(points), 0
+    for x in points:
+        if not ((kept[:n] >= x).all(1) & (kept[:n] > x).any(1)).any():
+            kept[n], n = x, n + 1
+    return kept[:n]
 
 
 def customer_factors(cpm: DataFrame, cutoffs, months: int = 6) -> DataFrame:

@@ -43,7 +43,16 @@ query("r58_threshold_search", f"""SELECT low, mid, high, r0, r1, r2, r3, (r3 - r
 _FOLD = "(SELECT ev.*, CAST(floor(b*4.0/n) AS INT) AS fold FROM ev JOIN (SELECT as_of, row_number() OVER (ORDER BY as_of DESC) - 1 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT as_of FROM ev)) USING (as_of) WHERE floor(b*4.0/n) < 3)"
 query("r59_time_series_cv", _AUC.format(k="fold,", p="PARTITION BY fold", q="fold,", src=_FOLD, g="GROUP BY fold"), "auc")(lambda w: ops.time_series_cv(samples(w)))
 query("r67_coverage", f"SELECT *, {d('caught')}/nullif(declined,0) AS coverage FROM (SELECT {cnt('dd')} AS declined, {cnt('dd AND f')} AS caught FROM (SELECT product_id, bool_or(label = 1) AS dd, bool_or(risk_score > 55) AS f FROM ev GROUP BY 1))", "coverage")(lambda w: ops.coverage(samples(w), F.col("risk_score") > 55))
-query("r68_fold_ranking")(lambda w: ops.fold_ranking(samples(w)))
+cte("ev_fold", f"SELECT * FROM {_FOLD}")
+_SIDE = "FROM (SELECT fold, risk_score, count(*) AS n, sum(label) AS p FROM ev_fold GROUP BY 1, 2)"
+_FAC = ("s_slope", "s_decay", "s_health")
+_RANKED = ", ".join(f"rank() OVER (PARTITION BY fold ORDER BY {x}) + (count(*) OVER (PARTITION BY fold, {x}) - 1)/2.0 AS r_{x}" for x in (*_FAC, "risk_score", "order_cv"))
+query("r68_fold_ranking", f"""SELECT a.*, average_precision, top_hit_rate, top_hit_rate/base AS top_lift, f2, precision_highest, recall_alarm, {', '.join(f'missing_{x}, auc_{x}' for x in _FAC)}, spearman FROM ({_AUC.format(k="fold,", p="PARTITION BY fold", q="fold,", src="ev_fold", g="GROUP BY fold")}) a
+  JOIN (SELECT fold, sum(p*(pb + p)/(nb + n))/max(pt) AS average_precision, {d('sum(p) FILTER (WHERE nb < nt*0.2)')}/sum(n) FILTER (WHERE nb < nt*0.2) AS top_hit_rate, {d('max(pt)')}/max(nt) AS base FROM (SELECT *, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(p) OVER w, 0) AS pb, sum(n) OVER (PARTITION BY fold) AS nt, sum(p) OVER (PARTITION BY fold) AS pt {_SIDE} WINDOW w AS (PARTITION BY fold ORDER BY risk_score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY 1) USING (fold)
+  JOIN (SELECT fold, CASE WHEN max(CAST(risk_score > 55 AS INT)) > min(CAST(risk_score > 55 AS INT)) AND max(label) > min(label) THEN 5.0*{cnt('risk_score > 55 AND label = 1')}/(5*{cnt('risk_score > 55 AND label = 1')} + 4*{cnt('risk_score <= 55 AND label = 1')} + {cnt('risk_score > 55 AND label = 0')}) END AS f2, avg(label) FILTER (WHERE risk_score > 68) AS precision_highest, {d(cnt('risk_score > 65 AND label = 1'))}/nullif({cnt('label = 1')}, 0) AS recall_alarm, {', '.join(f'avg(CAST({x} IS NULL AS INT)) AS missing_{x}' for x in _FAC)} FROM ev_fold GROUP BY 1) USING (fold)
+  JOIN (SELECT fold, {', '.join(f'(sum(label*r_{x}) - sum(label)*(sum(label)+1)/2.0)/nullif(sum(label)*(count(*)-sum(label)), 0) AS auc_{x}' for x in _FAC)} FROM (SELECT *, {_RANKED} FROM ev_fold) GROUP BY 1) USING (fold)
+  LEFT JOIN (SELECT fold, corr(r_risk_score, r_order_cv) AS spearman FROM (SELECT *, {_RANKED} FROM ev_fold WHERE order_cv IS NOT NULL) GROUP BY 1) USING (fold)""", "auc average_precision top_hit_rate top_lift f2 precision_highest recall_alarm spearman " + " ".join(f"missing_{x} auc_{x}" for x in _FAC))(lambda w: ops.fold_ranking(samples(w), target="order_cv", factors=_FAC))
+query("rank_correlation", f"SELECT as_of, CASE WHEN count(*) >= 5 AND max(ra) > min(ra) AND max(rb) > min(rb) THEN corr(ra, rb) END AS rho FROM (SELECT as_of, rank() OVER (PARTITION BY as_of ORDER BY top1) + (count(*) OVER (PARTITION BY as_of, top1) - 1)/2.0 AS ra, rank() OVER (PARTITION BY as_of ORDER BY order_cv) + (count(*) OVER (PARTITION BY as_of, order_cv) - 1)/2.0 AS rb FROM ev WHERE top1 IS NOT NULL AND order_cv IS NOT NULL) GROUP BY 1", "rho")(lambda w: ops.rank_correlation(samples(w), ["as_of"], "top1", "order_cv"))
 
 
 @query("r69_fold_stability")
@@ -147,6 +156,17 @@ def _s02(w):
     return io.read_silver(w.spark, path, df.schema).select("customer_id", "month_idx", "revenue")
 
 
+@query("s01_newest_silver", f"SELECT customer_id, month_idx, {d('revenue')} AS revenue FROM cm", "revenue")
+def _s01(w):
+    import uuid
+
+    io, root = _io(w)
+    path = f"{root}/silver-{uuid.uuid4().hex}"
+    df = w.customer_month().select("customer_id", "month_idx", dbl("revenue").alias("revenue"))
+    io.write_silver(df, f"{path}.parquet", csv_path=f"{path}.csv")
+    return io.newest_silver(w.spark, f"{path}.csv", df.schema)
+
+
 query("s03_projected_read", f"SELECT product_id, {d('revenue')} AS revenue FROM fact", "revenue")(lambda w: w.fact("product_id", "revenue").select("product_id", dbl("revenue").alias("revenue")))
 
 

@@ -232,8 +232,31 @@ def _prod_quarters(w):
     return ops.quarter_series(w.fact("product_id", "month_idx", "qty", months=36), ["product_id"], w.latest, ("qty",)).withColumnRenamed("qty", "v")
 
 
-query("f04_croston")(lambda w: _prod_quarters(w).select("product_id", ops.croston(F.transform("v", lambda x: F.greatest(x, F.lit(0.0))), 0.1).alias("forecast")))
-query("f39_intermittent_methods")(lambda w: _prod_quarters(w).select("product_id", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v")).select("product_id", *[fn(F.col("v")).alias(n) for n, fn in ops.INTERMITTENT.items()]))
+cte("x_pq", f"SELECT product_id, list(greatest(coalesce(q, 0), 0) ORDER BY i) AS v FROM (SELECT DISTINCT product_id FROM fact WHERE {_IN}) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT product_id, {B} AS i, {d('sum(qty)')} AS q FROM fact WHERE {_IN} GROUP BY 1, 2) USING (product_id, i) GROUP BY 1")
+
+
+def _croston(v, a):
+    """A fold over a list: smoothed size and interval of the values above 0."""
+    hit = f"CASE WHEN y > 0 THEN {{'z': CASE WHEN s.z IS NULL THEN y ELSE {a}*y + (1-{a})*s.z END, 'x': CASE WHEN s.z IS NULL THEN 1.0 ELSE {a}*(s.gap+1) + (1-{a})*s.x END, 'gap': 0.0}} ELSE {{'z': s.z, 'x': s.x, 'gap': s.gap + 1}} END"
+    s = f"list_reduce({v}, lambda s, y: {hit}, {{'z': CAST(NULL AS DOUBLE), 'x': CAST(NULL AS DOUBLE), 'gap': CAST(0 AS DOUBLE)}})"
+    return f"coalesce({s}.z/greatest({s}.x, 1), 0)"
+
+
+def _tsb(v, a, b):
+    hit = f"{{'p': CASE WHEN s.p IS NULL THEN CAST(y > 0 AS DOUBLE) ELSE s.p + {b}*(CAST(y > 0 AS DOUBLE) - s.p) END, 'z': CASE WHEN y > 0 THEN CASE WHEN s.z IS NULL THEN y ELSE s.z + {a}*(y - s.z) END ELSE s.z END}}"
+    s = f"list_reduce({v}, lambda s, y: {hit}, {{'p': CAST(NULL AS DOUBLE), 'z': CAST(NULL AS DOUBLE)}})"
+    return f"coalesce({s}.z*{s}.p, 0)"
+
+
+def _adida(v, k):
+    sums = f"list_transform(range(len({v})//{k}), lambda b: list_sum({v}[len({v}) - (len({v})//{k} - b)*{k} + 1 : len({v}) - (len({v})//{k} - b - 1)*{k}]))"
+    return f"coalesce(list_reduce({sums}, lambda s, y: 0.3*y + 0.7*s)/{k}, 0)"
+
+
+query("f04_croston", f"SELECT product_id, {_croston('v', 0.1)} AS forecast FROM x_pq", "forecast")(lambda w: _prod_quarters(w).select("product_id", ops.croston(F.transform("v", lambda x: F.greatest(x, F.lit(0.0))), 0.1).alias("forecast")))
+query("f39_intermittent_methods", f"""SELECT product_id, coalesce(list_avg(list_filter(v, lambda x: x > 0))*len(list_filter(v, lambda x: x > 0))/len(v), 0) AS zero_inflated, {_croston('v', 0.1)} AS croston, {_croston('v', 0.1)}*0.95 AS sba, {_tsb('v', 0.1, 0.1)} AS tsb, {_adida('v', 3)} AS adida, ({' + '.join(_adida('v', k) for k in (1, 2, 3))})/3 AS imapa FROM x_pq""", "zero_inflated croston sba tsb adida imapa")(
+    lambda w: _prod_quarters(w).select("product_id", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v")).select("product_id", *[fn(F.col("v")).alias(n) for n, fn in ops.INTERMITTENT.items()])
+)
 query("f38_intermittency", f"""SELECT *, active_share < 0.5 AS intermittent, active_quarters <= 1 OR coalesce(cv > 1.5, FALSE) AS unforecastable FROM (SELECT product_id, {cnt('q > 0')}/36.0 AS active_share FROM (SELECT product_id, month_idx, sum(qty) AS q FROM fact WHERE {win(36)} GROUP BY 1, 2) GROUP BY 1) JOIN (
   SELECT product_id, count(*) FILTER (WHERE qr < 4 AND q > 0) AS active_quarters, stddev_samp(CASE WHEN q > 0 THEN q END)/avg(CASE WHEN q > 0 THEN q END) AS cv FROM (SELECT product_id, ({LM} - month_idx)//3 AS qr, {d('sum(qty)')} AS q FROM fact WHERE {win(36)} GROUP BY 1, 2) GROUP BY 1) USING (product_id)""", "active_share cv")(
     lambda w: ops.intermittency(w.fact("product_id", "month_idx", "qty", months=36), "product_id", w.latest)
@@ -345,7 +368,10 @@ def _f29(w):
 
 
 # --- further methods and studies ---
-query("f05_monthly_seasonal")(lambda w: _months(w).select("product_line", ops.monthly_seasonal(F.col("v")).alias("forecast")))
+_MID = "greatest(least(i, len(v) - 7), 6)"
+_TREND = f"list_avg(v[{_MID} - 5 : {_MID} + 6])"
+query("f05_monthly_seasonal", f"""SELECT product_line, CASE WHEN len(v) >= 13 THEN ({' + '.join(f'v[len(v) - {k} + 1]/greatest(coalesce(season[(len(v) - {k}) % 12 + 1], 1), 1e-9)' for k in (1, 2, 3))})/3*coalesce(season[len(v) % 12 + 1], 1) ELSE list_avg(v[-3:]) END AS forecast FROM (
+  SELECT product_line, v, list_transform(range(12), lambda m: list_aggregate(list_transform(list_filter(range(len(v)), lambda i: i % 12 = m AND {_TREND} > 0), lambda i: v[i + 1]/{_TREND}), 'median')) AS season FROM (SELECT product_line, list(v ORDER BY i) AS v FROM m_line GROUP BY 1))""", "forecast")(lambda w: _months(w).select("product_line", ops.monthly_seasonal(F.col("v")).alias("forecast")))
 query("f26_five_methods")(lambda w: ops.five_methods(_series(w).select("product_line", F.col("revenue").alias("v")), LINE))
 
 

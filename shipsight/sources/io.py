@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,15 +17,36 @@ def read_silver(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.read.schema(schema).parquet(path)
 
 
+def changed_at(spark: SparkSession, path: str) -> datetime | None:
+    """When the newest file under a path was written, None where there is no such path."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    # The content column is pruned, so only the listing is read.
+    return files.filter(~F.col("path").rlike(r"/[._][^/]*$")).agg(F.max("_metadata.file_modification_time")).first()[0]
+
+
+def newest_silver(spark: SparkSession, csv_path: str, schema: StructType) -> DataFrame:
+    """The Parquet table beside a CSV table, of the same name, if it is not older; else the CSV table. Files may lie in folders."""
+    beside = csv_path.removesuffix(".csv") + ".parquet"
+    parquet, csv = changed_at(spark, beside), changed_at(spark, csv_path)
+    if parquet is not None and csv is not None and parquet >= csv:
+        return read_silver(spark, beside, schema)
+    return read_silver(spark, csv_path, schema, "csv")
+
+
 def write_silver(df: DataFrame, path: str, partition: str | None = None, csv_path: str | None = None) -> None:
-    """Parquet, partitioned when asked (rows of a value lie together, a heavy value in several ranges), and optional CSV."""
+    """Parquet, partitioned when asked (rows of a value lie together, a heavy value in several ranges), and optional CSV before it."""
+    if csv_path:
+        df.write.mode("overwrite").option("header", True).csv(csv_path)
     if partition:
         # The row's hash splits a heavy month over several ranges; small months stay together.
         df.repartitionByRange(F.col(partition), F.xxhash64(*df.columns)).write.mode("overwrite").partitionBy(partition).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
-    if csv_path:
-        df.write.mode("overwrite").option("header", True).csv(csv_path)
 
 
 def write_gold(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
