@@ -7,7 +7,8 @@ blocks and hash buckets of n-grams, so each n-gram of a block crosses the networ
 2. it sends its bigrams, with their documents, to the bigram buckets: a table with one row a bucket, written once;
 3. these give counts of counts, then each bucket evaluates its bigrams and returns partial sums per document.
 
-The number of buckets follows the session's shuffle partitions. A history with more than a quarter of a mean bucket's
+There are as many buckets as blocks at least (and as shuffle partitions), so that no bucket holds more than about a block's
+share of the tokens. A history with more than a quarter of a mean bucket's
 tokens is spread over several buckets; the few sums that its backoff weight needs (at most four histories a bucket) are
 added up and broadcast.
 """
@@ -338,11 +339,12 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     counts as well; other columns are ignored; without rows there is no result, without training rows every word is unknown.
     """
     spark = docs.sparkSession
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    n = 2**bits
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark)
     # Bucketed by block, so that blocks stay where they are when the answers come.
-    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(n, "block"))
+    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(2 ** max(4, (tasks - 1).bit_length()), "block"))
+    bits = max(4, (max(tasks, blocks.count()) - 1).bit_length())  # a bucket holds about as much as a block, at any size
+    n = 2**bits
     asks = blocks.select("block", "hashes", "counts").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
     words = settle(asks.groupBy("bucket").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("asks")).mapInArrow(_answer(n), "block string, bucket long, ids binary, counts binary, stats array<long>"))
     stats = words.filter("block IS NULL").select(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(TRUSTED + 4)]).first()
