@@ -327,6 +327,13 @@ def sales_profile(portrait: DataFrame, losses: DataFrame | None = None, today_mo
     return g.withColumn("grade", grade).drop("_p", "_k")
 
 
+def capability_scores(profile: DataFrame) -> DataFrame:
+    """The nine scores of each owner as rows, with the distance to the team's mean."""
+    long = profile.select("owner", *PROFILE_WEIGHTS).unpivot(["owner"], list(PROFILE_WEIGHTS), "capability", "score")
+    mean = long.groupBy("capability").agg(F.avg("score").alias("_m"))
+    return long.join(mean, "capability").select("owner", "capability", "score", (F.col("score") - F.col("_m")).alias("gap"))
+
+
 # --- association and cross-sell ------------------------------------------------------------------------------
 
 

@@ -154,7 +154,7 @@ def _b18(w):
 query("j15_customer_owners", "SELECT DISTINCT customer_id, owner FROM fact")(lambda w: ops.customer_owners(w.fact("customer_id", "owner")))
 
 
-@query("b19_owner_diagnosis")
+@query("b19_owner_diagnosis", "SELECT * FROM (SELECT owner, capability, score, team_mean, score - team_mean AS gap, CAST(row_number() OVER (PARTITION BY owner ORDER BY score - team_mean, capability) AS INT) AS rank FROM (SELECT *, avg(score) OVER (PARTITION BY capability) AS team_mean FROM x_cap)) WHERE rank <= 2", "score team_mean gap")
 def _b19(w):
     s = w.stored
     return ops.owner_diagnosis(insights.sales_profile(s.scored_portrait(), insights.negative_margin(s.customer_product_month())))

@@ -55,7 +55,11 @@ query("r68_fold_ranking", f"""SELECT a.*, average_precision, top_hit_rate, top_h
 query("rank_correlation", f"SELECT as_of, CASE WHEN count(*) >= 5 AND max(ra) > min(ra) AND max(rb) > min(rb) THEN corr(ra, rb) END AS rho FROM (SELECT as_of, rank() OVER (PARTITION BY as_of ORDER BY top1) + (count(*) OVER (PARTITION BY as_of, top1) - 1)/2.0 AS ra, rank() OVER (PARTITION BY as_of ORDER BY order_cv) + (count(*) OVER (PARTITION BY as_of, order_cv) - 1)/2.0 AS rb FROM ev WHERE top1 IS NOT NULL AND order_cv IS NOT NULL) GROUP BY 1", "rho")(lambda w: ops.rank_correlation(samples(w), ["as_of"], "top1", "order_cv"))
 
 
-@query("r69_fold_stability")
+cte("ev_weight", "UNPIVOT (SELECT fold, corr(s_slope, label) AS s_slope, corr(s_decay, label) AS s_decay, corr(s_health, label) AS s_health FROM ev_fold GROUP BY 1) ON s_slope, s_decay, s_health INTO NAME factor VALUE w")
+
+
+@query("r69_fold_stability", """WITH pairs AS (SELECT a.fold, a.factor AS x, b.factor AS y, sign(a.w - b.w) AS s FROM ev_weight a JOIN ev_weight b ON a.fold = b.fold AND a.factor < b.factor)
+  SELECT factor, stddev_samp(w)/nullif(avg(w), 0) AS cv, (SELECT avg(p.s*q.s) FROM pairs p JOIN pairs q ON p.x = q.x AND p.y = q.y AND p.fold < q.fold) AS mean_tau FROM ev_weight GROUP BY 1""", "cv mean_tau")
 def _r69(w):
     s = settle(ops.time_folds(samples(w)))
     g = s.groupBy("fold").agg(*[F.corr(dbl(f), dbl("label")).alias(f) for f in ("s_slope", "s_decay", "s_health")])

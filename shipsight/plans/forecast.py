@@ -222,9 +222,13 @@ query("f25_bootstrap_interval", """SELECT quantile_cont(s, 0.1) AS p10, quantile
     lambda w: ops.bootstrap_interval(_past_ratios(w), _anchor(w).withColumnRenamed("anchor", "forecast"))
 )
 
-query("s08_long_history", f"SELECT product_line, month_idx, {d('sum(revenue)')} AS revenue FROM fact GROUP BY 1, 2", "revenue")(
-    lambda w: (lambda f: f.filter(F.col("month_idx") <= w.latest - 24).unionByName(f.filter(F.col("month_idx") > w.latest - 24)).groupBy("product_line", "month_idx").agg(dbl(F.sum("revenue")).alias("revenue")))(w.fact("product_line", "month_idx", "revenue"))
-)
+@query("s08_long_history", f"SELECT product_line, month_idx, {d('sum(revenue)')} AS revenue FROM fact GROUP BY 1, 2", "revenue")
+def _s08(w):
+    from ..sources import io
+
+    monthly = w.fact("product_line", "month_idx", "revenue").groupBy("product_line", "month_idx").agg(dbl(F.sum("revenue")).alias("revenue"))
+    old = F.col("month_idx") <= w.latest - 24
+    return io.long_history(monthly.filter(old), monthly.filter(~old), ["product_line", "month_idx"])
 
 
 # --- intermittent, smoothing ---
@@ -334,12 +338,39 @@ query("f43_best_reconciliation", "SELECT *, row_number() OVER (ORDER BY round(me
 query("f42_reconciliation", "SELECT product_line, bottom_up, top_down, middle_out, own, least_squares FROM q_rec", "bottom_up top_down middle_out own least_squares")(lambda w: _reconciled(w)[0])
 
 
+_TREE = [["product_line", "category", "product_id"], ["product_line", "category"], ["product_line"], []]
+
+
+def _level(w, keys):
+    """Mean of the last four training quarters of leaves, the last six of other nodes, and the variance of all eleven."""
+    s = ops.quarter_series(w.fact(*keys, "month_idx", "revenue", months=36), keys, w.latest, ("revenue",))
+    train = F.slice("revenue", 1, 11)
+    return s.select(*keys, ops.amean(ops.tail(train, 4 if "product_id" in keys else 6)).alias("forecast"), ops.amean(F.transform(train, lambda x: (x - ops.amean(train)) * (x - ops.amean(train)))).alias("variance"))
+
+
+def _node(keys):
+    k = "".join(f"{x}, " for x in keys)
+    return f"SELECT {k}avg(y) FILTER (WHERE i BETWEEN {8 if 'product_id' in keys else 6} AND 11) AS own, greatest(avg(y*y) FILTER (WHERE i <= 11) - power(avg(y) FILTER (WHERE i <= 11), 2), 1e-9) AS v FROM (SELECT {k}i, coalesce(y, 0) AS y FROM (SELECT DISTINCT {k}0 AS z FROM fact WHERE {_IN}) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT {k}{B} AS i, {d('sum(revenue)')} AS y FROM fact WHERE {_IN} GROUP BY ALL) USING ({k}i)) GROUP BY ALL"
+
+
+_UP = "SELECT {k}own, b, vb, (b/vb + own/v)/(1/vb + 1/v) AS z, 1/(1/vb + 1/v) AS s FROM (SELECT {k}sum(z) AS b, sum(s) AS vb FROM {c} GROUP BY ALL) {j} ({n}) t{u}"
+for _i, _keys in enumerate(_TREE):
+    _k = "".join(f"{x}, " for x in _keys)
+    cte(f"tree_up{_i}", f"SELECT *, own AS z, v AS s FROM ({_node(_keys)})" if _i == 0 else _UP.format(k=_k, c=f"tree_up{_i - 1}", j="JOIN" if _keys else "CROSS JOIN", n=_node(_keys), u=f" USING ({', '.join(_keys)})" if _keys else ""))
+for _i, _keys in reversed(list(enumerate(_TREE))):
+    _p = _TREE[_i + 1] if _keys else []
+    cte(f"tree_final{_i}", f"SELECT *, z AS reconciled FROM tree_up{_i}" if not _keys else f"SELECT c.*, c.z + (p.reconciled - p.b)*c.s/p.vb AS reconciled FROM tree_up{_i} c JOIN tree_final{_i + 1} p ON TRUE{''.join(f' AND c.{x} = p.{x}' for x in _p)}")
+query("f42_least_squares", " UNION ALL ".join(f"SELECT {i} AS level, {', '.join(x if x in keys else f'NULL AS {x}' for x in _TREE[0])}, own AS forecast, reconciled FROM tree_final{i}" for i, keys in enumerate(_TREE)), "forecast reconciled")(lambda w: ops.least_squares_tree([(keys, _level(w, keys)) for keys in _TREE]))
+
+
 def _cust_q(w):
     s = ops.quarter_series(w.fact("customer_id", "tier", "month_idx", "revenue", months=36), ["customer_id", "tier"], w.latest, ("revenue",))
     return s.withColumnRenamed("revenue", "v")
 
 
-query("f27_longtail_forecast")(lambda w: ops.longtail_forecast(_cust_q(w)))
+cte("x_cq", f"SELECT customer_id, tier, list(coalesce(q, 0) ORDER BY i) AS v FROM (SELECT DISTINCT customer_id, tier FROM fact WHERE {_IN}) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT customer_id, {B} AS i, {d('sum(revenue)')} AS q FROM fact WHERE {_IN} GROUP BY 1, 2) USING (customer_id, i) GROUP BY 1, 2")
+cte("x_seg", "SELECT *, CASE WHEN last4 = 0 THEN 'dormant' WHEN active_quarters = 1 THEN 'one_off' WHEN active_quarters >= 6 THEN 'active' ELSE 'sparse' END AS segment FROM (SELECT *, CAST(len(list_filter(v, lambda x: x > 0)) AS INT) AS active_quarters, len(list_filter(v[-4:], lambda x: x > 0)) AS last4 FROM x_cq)")
+query("f27_longtail_forecast", f"""SELECT customer_id, tier, active_quarters, segment, CASE segment WHEN 'active' THEN list_avg(v[-4:]) WHEN 'sparse' THEN {_croston('v', 0.2)} WHEN 'one_off' THEN coalesce(m, 0)/12 ELSE 0 END AS forecast FROM x_seg LEFT JOIN (SELECT tier, quantile_cont(list_max(v), 0.5) AS m FROM x_seg WHERE segment = 'one_off' GROUP BY 1) USING (tier)""", "forecast")(lambda w: ops.longtail_forecast(_cust_q(w)))
 
 
 @query("f45_new_old_layering", f"""SELECT layer, count(*) AS products, sum(abs(p-a))/nullif(sum(abs(a)), 0) AS wape FROM (SELECT product_id, CASE WHEN fb > 7 THEN 'new' ELSE 'old' END AS layer, a, CASE WHEN fb > 7 THEN r3/3 ELSE al/11 END AS p FROM (SELECT product_id, {tot('revenue', f'{B} = 12')} AS a, {tot('revenue', f'{B} BETWEEN 9 AND 11')} AS r3, {tot('revenue', f'{B} BETWEEN 1 AND 11')} AS al FROM fact WHERE {_IN} GROUP BY 1)
@@ -372,7 +403,9 @@ _MID = "greatest(least(i, len(v) - 7), 6)"
 _TREND = f"list_avg(v[{_MID} - 5 : {_MID} + 6])"
 query("f05_monthly_seasonal", f"""SELECT product_line, CASE WHEN len(v) >= 13 THEN ({' + '.join(f'v[len(v) - {k} + 1]/greatest(coalesce(season[(len(v) - {k}) % 12 + 1], 1), 1e-9)' for k in (1, 2, 3))})/3*coalesce(season[len(v) % 12 + 1], 1) ELSE list_avg(v[-3:]) END AS forecast FROM (
   SELECT product_line, v, list_transform(range(12), lambda m: list_aggregate(list_transform(list_filter(range(len(v)), lambda i: i % 12 = m AND {_TREND} > 0), lambda i: v[i + 1]/{_TREND}), 'median')) AS season FROM (SELECT product_line, list(v ORDER BY i) AS v FROM m_line GROUP BY 1))""", "forecast")(lambda w: _months(w).select("product_line", ops.monthly_seasonal(F.col("v")).alias("forecast")))
-query("f26_five_methods")(lambda w: ops.five_methods(_series(w).select("product_line", F.col("revenue").alias("v")), LINE))
+_HOLT = ", ".join(f"list_reduce(h[2:], lambda s, y: {{'e': s.e + power(y - s.l - s.t, 2), 'l': s.l + s.t + {a}*(y - s.l - s.t), 't': s.t + {a * b}*(y - s.l - s.t)}}, {{'e': CAST(0 AS DOUBLE), 'l': h[1], 't': CAST(0 AS DOUBLE)}})" for a, b in ((0.2, 0.1), (0.4, 0.1), (0.6, 0.2), (0.8, 0.3)))
+cte("x_five", f"SELECT product_line, a, naive, mean_3, median_4, holt, list_aggregate([naive, mean_3, median_4, holt], 'median') AS ensemble FROM (SELECT product_line, v[t + 1] AS a, h[-1] AS naive, list_avg(h[-3:]) AS mean_3, list_aggregate(h[-4:], 'median') AS median_4, greatest(list_sort(list_transform([{_HOLT}], lambda x: {{'e': x.e, 'p': x.l + x.t}}))[1].p, 0) AS holt FROM (SELECT product_line, v, t, v[1:t] AS h FROM (SELECT product_line, list(revenue ORDER BY i) AS v FROM q_line GROUP BY 1), (SELECT unnest(range(8, 12)) AS t)))")
+query("f26_five_methods", "SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(mape, 10), method) AS rank FROM (SELECT product_line, method, avg(abs(p - a)/greatest(abs(a), 1e-9)) AS mape FROM (UNPIVOT x_five ON naive, mean_3, median_4, holt, ensemble INTO NAME method VALUE p) GROUP BY 1, 2)", "mape")(lambda w: ops.five_methods(_series(w).select("product_line", F.col("revenue").alias("v")), LINE))
 
 
 @query("f28_extended_methods")
@@ -396,7 +429,8 @@ def _leaf(w, *keys):
 
 _PM = "SELECT product_line, product_id, unnest([" + ", ".join(f"'{n}'" for n, _, _ in _M) + "]) AS method, unnest([" + ", ".join(_pred(a, p, "12") for _, a, p in _M) + "]) AS prediction FROM (SELECT product_line, product_id, i, greatest(coalesce(revenue, 0), 0) AS y FROM (SELECT DISTINCT product_line, product_id FROM q_prod) CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INT) AS i) LEFT JOIN (SELECT product_line, product_id, bucket AS i, revenue FROM q_prod) USING (product_line, product_id, i)) GROUP BY 1, 2"
 query("f32_layer_predictions", f"SELECT product_line, method, sum(prediction) AS prediction, count(*) AS series FROM ({_PM}) GROUP BY 1, 2", "prediction")(lambda w: ops.layer_predictions(_leaf(w, "product_line", "product_id"), ["product_line", "product_id"], LINE))
-query("f36_residual_quantiles")(lambda w: ops.residual_quantiles(_leaf(w, "product_line"), LINE))
+query("f36_residual_quantiles", """SELECT product_line, max(p) AS forecast, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90 FROM (SELECT product_line, p, greatest(p + r[CAST(floor(CAST('0x' || substr(md5('42:' || product_line || ':' || k), 1, 8) AS BIGINT)*len(r)/4294967296.0) AS INT) + 1], 0) AS x FROM (
+    SELECT product_line, any_value(c + s*13) AS p, list(y - c - s*i ORDER BY i) AS r FROM (SELECT product_line, i, revenue AS y, regr_intercept(revenue, i) OVER g AS c, regr_slope(revenue, i) OVER g AS s FROM q_line WINDOW g AS (PARTITION BY product_line)) GROUP BY 1), (SELECT unnest(range(1, 501)) AS k)) GROUP BY 1""", "forecast p10 p50 p90")(lambda w: ops.residual_quantiles(_leaf(w, "product_line"), LINE))
 query("f37_interval_coverage", """WITH q AS (SELECT product_line, method, quantile_cont(actual/prediction, 0.1) FILTER (WHERE fold < 9 AND prediction > 0) AS lo, quantile_cont(actual/prediction, 0.9) FILTER (WHERE fold < 9 AND prediction > 0) AS hi FROM (SELECT product_line, method, fold, actual, nullif(prediction, 0) AS prediction FROM q_rows) GROUP BY 1, 2)
   SELECT product_line, method, CAST(count(*) FILTER (WHERE actual >= prediction*lo AND actual <= prediction*hi) AS DOUBLE)/count(*) AS coverage, avg(prediction*(hi-lo)/nullif(abs(actual),0)) AS relative_width FROM q_rows JOIN q USING (product_line, method) WHERE fold >= 9 GROUP BY 1, 2""", "coverage relative_width")(lambda w: ops.interval_coverage(settle(ops.metric_rows(ops.backtest(settle(_series(w)), LINE), LINE)), LINE))
 query("f40_window_choice", """WITH r AS (SELECT *, CAST(replace(method, 'mean_', '') AS INT) AS k FROM q_rows WHERE method IN ('mean_2','mean_3','mean_4','mean_6')), b AS (SELECT product_line, k, wape FROM (SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY round(wape, 10), k DESC) AS rn FROM (SELECT product_line, k, sum(abs_error)/greatest(sum(abs(actual)), 1e-9) AS wape FROM r GROUP BY 1, 2)) WHERE rn = 1),

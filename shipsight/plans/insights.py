@@ -153,12 +153,50 @@ def _a55(w):
     return ops.category_aptitude(w.customer_product_month(extra=("product_line", "is_new")), w.customers("owner"))
 
 
-@query("a56_sales_profile")
-def _a56(w):
+_LOG = "log10(greatest(CAST({} AS DOUBLE), 1))"
+_SHARE = "({}/greatest(CAST({} AS DOUBLE), 1)*100)"
+
+
+def _cap(x):
+    return f"least(greatest(CAST({x} AS DOUBLE), 0), 100)"
+
+
+def _sh(a, b="n"):
+    return _SHARE.format(a, b)
+
+
+_CAPABILITY = {
+    "absolute": f"50 + CASE WHEN rev > 0 THEN (least(greatest({_LOG.format('rev')}*20, 20), 100) - 50)*0.5 ELSE 0 END + CASE WHEN prof > 0 THEN (least(greatest(log10(greatest(prof, 0) + 1)*20, 20), 100) - 50)*0.3 ELSE 0 END + coalesce(least(greatest(mg*100, -20), 50)*0.2, 0)",
+    "retention": f"50 + ({_sh('act')} - 40)*0.4 + least(0*0.3, 20)",
+    "category": f"50 + ({_sh('multi')} - 30)*0.3 + least({_LOG.format('multi')}*20, 30) + least({_sh('has_new')}, 30)*0.3 + least(coalesce(avg_new, 0)*1.5, 15)",
+    "pricing": f"50 + (100 - least({_sh('neg')}*2, 100))*0.2 + CASE WHEN nk > 0 THEN ({_sh('nk_high', 'nk')} - 30)*0.25 + least({_LOG.format('nk_high')}*15, 25) ELSE 0 END - least(coalesce(low, 0), 50)*0.2",
+    "acquisition": f"50 + {_sh('fresh')}*0.5 + (re1*0.5 + re2*0.3 + re3*1.0)/n*100*0.5 + CASE WHEN fresh > 0 THEN ({_sh('fresh_good', 'fresh')} - 40)*0.2 ELSE 0 END",
+    "activation": "50",
+    "upgrade": f"50 + CASE WHEN nk > 0 THEN least(nk_sa*2.5, 50) + greatest({_sh('nk_sa', 'nk')} - 15, 0) ELSE 0 END",
+    "mix": f"50 + least({_LOG.format('high')}*30, 40) + coalesce(least(greatest((mm - 15)*0.5, 0), 20), 0)",
+    "diversification": "CASE WHEN rev > 0 THEN (1 - hhi)*100 ELSE 50 END",
+}
+_KEYS = "tier IN ('KA', 'AA')"
+_RE = "journey = 'reactivated' AND days_since"
+cte("x_own", f"""SELECT owner, count(*) AS n, sum(revenue_12m) AS rev, sum(profit_12m) AS prof, {cnt('revenue_12m > 0')} AS act, {cnt(_KEYS)} AS key_customers, {cnt(f'NOT {_KEYS}')} AS nk, {cnt(f"NOT {_KEYS} AND profit_level = 'high'")} AS nk_high, {cnt("profit_level = 'high'")} AS high, {cnt('loss_products > 0')} AS neg, avg(low_share) AS low,
+  {cnt("lifecycle IN ('intro', 'ramp')")} AS fresh, {cnt("lifecycle IN ('intro', 'ramp') AND value_tier IN ('S', 'A', 'B')")} AS fresh_good, {cnt(f'{_RE} BETWEEN 1 AND 365')} AS re1, {cnt(f'{_RE} BETWEEN 366 AND 730')} AS re2, {cnt(f'{_RE} > 730')} AS re3, {cnt('categories >= 3')} AS multi, {cnt('new_share > 0')} AS has_new, avg(new_share) AS avg_new,
+  {cnt(f"NOT {_KEYS} AND value_tier IN ('S', 'A')")} AS nk_sa, sum(CASE WHEN orv > 0 THEN power(revenue_12m/orv, 2) END) AS hhi, quantile_cont(growth, 0.5) AS mg, quantile_cont(CAST(margin_12m AS DOUBLE), 0.5) AS mm
+  FROM (SELECT sp.*, loss_products, sum(revenue_12m) OVER (PARTITION BY owner) AS orv FROM sp LEFT JOIN x_neg USING (customer_id)) WHERE owner IS NOT NULL AND owner <> 'unknown' GROUP BY 1""")
+cte("x_prof", f"SELECT *, {' + '.join(f'{k}*{v}' for k, v in ops.PROFILE_WEIGHTS.items())} AS composite FROM (SELECT owner, n AS customers, rev, key_customers, CASE WHEN rev > 10000000 THEN 'heavy' WHEN rev > 1000000 THEN 'middle' ELSE 'light' END AS revenue_class, CASE WHEN n > 150 THEN 'batch' WHEN n > 50 THEN 'balanced' ELSE 'key_customer' END AS subgroup, {', '.join(f'{_cap(x)} AS {k}' for k, x in _CAPABILITY.items())} FROM x_own)")
+_PROF = "rev composite " + " ".join(ops.PROFILE_WEIGHTS)
+
+
+def _profile(w):
     s = w.stored
     return ops.sales_profile(s.scored_portrait(), ops.negative_margin(s.customer_product_month()))
 
 
+query("a56_sales_profile", """SELECT * EXCLUDE (k, r), CASE WHEN rev > 80000000 THEN 'A' WHEN rev <= 0 THEN 'D' WHEN k < 2 THEN 'B' WHEN r >= 70 THEN 'A' WHEN r >= 40 THEN 'B' WHEN r < 25 THEN 'D' ELSE 'C' END AS grade FROM (
+  SELECT *, count(*) OVER g AS k, (rank() OVER (g ORDER BY composite) + (count(*) OVER (PARTITION BY revenue_class, subgroup, composite) - 1)/2.0)/count(*) OVER g*100 AS r FROM x_prof WINDOW g AS (PARTITION BY revenue_class, subgroup))""", _PROF)(_profile)
+cte("x_cap", f"UNPIVOT (SELECT owner, {', '.join(ops.PROFILE_WEIGHTS)} FROM x_prof) ON {', '.join(ops.PROFILE_WEIGHTS)} INTO NAME capability VALUE score")
+query("a57_capability_scores", "SELECT owner, capability, score, score - avg(score) OVER (PARTITION BY capability) AS gap FROM x_cap", "score gap")(lambda w: ops.capability_scores(_profile(w)))
+
+
 _RULES = """WITH p AS (SELECT DISTINCT order_id AS b, product_line AS i FROM fact), q AS (SELECT * FROM p WHERE b IN (SELECT b FROM p GROUP BY 1 HAVING count(*) >= 2)), t AS (SELECT CAST(count(DISTINCT b) AS DOUBLE) AS t FROM q),
   c AS (SELECT i, count(*) AS n FROM q GROUP BY 1), pr AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM q x JOIN q y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2)
   SELECT a AS item, pr.b AS with_item, pr.n/t AS support, CAST(pr.n AS DOUBLE)/ca.n AS confidence, (CAST(pr.n AS DOUBLE)/ca.n)/(cb.n/t) AS lift, pr.n/t - (ca.n/t)*(cb.n/t) AS leverage,

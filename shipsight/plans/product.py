@@ -235,7 +235,18 @@ def _a44(w):
     return ops.exited_lifespan(w.product_portrait())
 
 
-query("r30_product_notes")(lambda w: w.product_portrait().select("product_id", "portrait", "notes"))
+_ZERO, _NOM = "r12_q = 0", "(no_hist OR slope_level = 'no_profit')"
+_NOTES = [
+    ("override", "'double factor override: very high risk'"), ("negative_margin", "'loss making over 12 months'"), (_ZERO, "'no shipments in 12 months'"), ("consecutive_falls >= 4", "'volume fell ' || consecutive_falls || ' months in a row: risk signal'"),
+    ("group_source = 'company'", "'too few peers: relative health for reference only'"), ("no_hist", "'no valid margin history'"), ("slope_level = 'no_profit'", "'no profit in the last months'"), ("growth_window <> '12m'", "'growth based on window ' || growth_window"),
+    ("growth_direction = 'decelerating'", "'growth is slowing'"), ("top1 > 0.5", "'depends on one customer'"), ("slope_level IN ('clear_erosion', 'fast_erosion')", "'profit falls steadily'"),
+    (f"NOT ({_ZERO}) AND NOT {_NOM} AND self_health < 0.5 AND self_health >= 0.3", "'margin under half its reference'"), (f"NOT ({_ZERO}) AND NOT {_NOM} AND relative_health_pp < -10", "'margin far under its group'"),
+    ("order_cv IS NULL", "'order volatility unknown'"), ("low_volume = 'pulse'", "'pulse shipping'"), ("slope_short", "'too few months for a trend'"), ("self_health < 0.3", "'margin severely worse than history'"), ("pareto = 'key'", "'key product: keep improving cost'"),
+    ("pareto = 'regular' AND growth > 1.0", "'fast growing regular product: invest'"), ("joint_diagnosis = 'price_war'", "'price and margin fall together'"), ("consecutive_falls BETWEEN 2 AND 3", "'volume fell ' || consecutive_falls || ' months in a row'"),
+    ("growth_clamped", "'growth beyond the clip limit'"), ("decay_cap_removed", "'turned to real decline after a burst'"), ("(contains(strategy, 'exit') OR contains(strategy, 'replacement')) AND rev_profit = 'revenue_down_margin_up'", "'margin recovers: check the exit decision'"),
+    ("portrait = 'decline' AND margin_yoy_pp > 5", "'margin rebound: may be deliberate contraction'"),
+]
+query("r30_product_notes", f"SELECT product_id, portrait, CASE WHEN branch = 'normal' THEN coalesce(nullif(concat_ws('; ', {', '.join(f'CASE WHEN {a} THEN {b} END' for a, b in _NOTES)}), ''), 'no signal') END AS notes FROM pp WHERE as_of = {LM}")(lambda w: w.product_portrait().select("product_id", "portrait", "notes"))
 
 _OLD = """SELECT product_id, CASE WHEN zero_profit THEN 80 WHEN slope_ratio >= 0 THEN 10 WHEN slope_ratio > -0.003 THEN 20 WHEN slope_ratio > -0.008 THEN 50 ELSE 80 END AS old_slope,
   CASE WHEN order_cv IS NULL THEN 85 WHEN order_cv < 0.5 THEN 10 WHEN order_cv < 1 THEN 40 WHEN order_cv < 1.5 THEN 65 ELSE 85 END AS old_cv,

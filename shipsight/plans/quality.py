@@ -293,7 +293,12 @@ def _w17(w):
     return trend.recovery(panel(w))
 
 
-query("w18_rolling_slopes")(lambda w: trend.rolling_slopes(panel(w)))
+_W6 = "(PARTITION BY product_id ORDER BY month_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+_EW = "list_sum(list_transform(p, lambda z: power(0.5, (x - z.x)/3.0)*{}))"
+query("w18_rolling_slopes", f"""SELECT product_id, month_idx, CASE WHEN k >= 3 AND m > 0 THEN s/m END AS slope_ols, CASE WHEN k >= 3 AND m > 0 THEN (sw*sxy - sx*sy)/nullif(sw*sxx - sx*sx, 0)/m END AS slope_weighted, CASE WHEN k >= 3 AND m > 0 THEN sd/m END AS slope_year FROM (
+    SELECT *, {_EW.format('1')} AS sw, {_EW.format('z.x')} AS sx, {_EW.format('z.y')} AS sy, {_EW.format('z.x*z.y')} AS sxy, {_EW.format('z.x*z.x')} AS sxx FROM (
+      SELECT product_id, month_idx, x, count(*) OVER {_W6} AS k, avg(y) OVER {_W6} AS m, regr_slope(y, x) OVER {_W6} AS s, regr_slope(yd, x) OVER {_W6} AS sd, list({{'x': x, 'y': y}}) OVER {_W6} AS p FROM (
+        SELECT t.product_id, t.month_idx, {d('t.qty')} AS y, {d('t.qty')} - {d('b.qty')} AS yd, {d('row_number() OVER (PARTITION BY t.product_id ORDER BY t.month_idx)')} AS x FROM x_panel t LEFT JOIN x_panel b ON b.product_id = t.product_id AND b.month_idx = t.month_idx - 12)))""", "slope_ols slope_weighted slope_year")(lambda w: trend.rolling_slopes(panel(w)))
 _B12, _A12 = "(PARTITION BY product_id ORDER BY month_idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)", "(PARTITION BY product_id ORDER BY month_idx ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)"
 query("w19_severity", f"SELECT product_id, month_idx, CASE WHEN count(*) OVER {_B12} >= 6 AND count(*) OVER {_A12} >= 6 AND avg(qty) OVER {_B12} > 0 THEN 1 - least(avg(qty) OVER {_A12}/avg(qty) OVER {_B12}, 1) END AS severity FROM x_panel", "severity")(lambda w: trend.severity(panel(w)))
 

@@ -75,3 +75,22 @@ def test_the_newer_of_two_tables_is_read(spark, tmp_path):
         for f in files:
             os.utime(f"{folder}/{f}", (time.time() + 100,) * 2)
     assert [r.name for r in io.newest_silver(spark, path, old.schema).collect()] == ["csv"]
+
+
+def test_reconciliation_equals_a_dense_solve(spark):
+    rng = random.Random(6)
+    leaves = [(f"a{i % 3}", f"b{i % 3}{i % 2}", i) for i in range(17)]
+    mids, tops = sorted({x[:2] for x in leaves}), sorted({x[0] for x in leaves})
+    node = lambda: (rng.uniform(-5, 50), rng.uniform(0.1, 9))
+    values = {0: {x: node() for x in leaves}, 1: {x: node() for x in mids}, 2: {(x,): node() for x in tops}, 3: {(): node()}}
+    keys = [["a", "b", "c"], ["a", "b"], ["a"], []]
+    kinds = {"a": "string", "b": "string", "c": "int"}
+    frames = [(k, spark.createDataFrame([(*x, *v) for x, v in values[i].items()], ", ".join([*[f"{c} {kinds[c]}" for c in k], "forecast double, variance double"]))) for i, k in enumerate(keys)]
+    got = {(r.level, *(x for x in (r.a, r.b, r.c) if x is not None)): r.reconciled for r in forecast.least_squares_tree(frames).collect()}
+    nodes = [(i, x) for i in range(4) for x in values[i]]
+    summing = np.array([[float(leaf[: len(x)] == x) for leaf in leaves] for _, x in nodes])
+    y, w = np.array([values[i][x][0] for i, x in nodes]), np.array([1 / values[i][x][1] for i, x in nodes])
+    want = summing @ np.linalg.solve(summing.T @ (summing * w[:, None]), summing.T @ (w * y))
+    assert len(got) == len(nodes)
+    for (i, x), z in zip(nodes, want):
+        assert got[(i, *x)] == pytest.approx(z)

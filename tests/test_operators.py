@@ -368,6 +368,22 @@ def test_isolation_forest_flags_the_outlier(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "customer_id int, a double, b double, c double")
     r = rows(anomaly.isolation_forest(df, ["a", "b", "c"], trees=50, contamination=0.02), "customer_id")
     assert 0 in r and len(r) <= 8
+    again = rows(anomaly.isolation_forest(df.repartition(9), ["a", "b", "c"], trees=50, contamination=0.02), "customer_id")
+    assert {k: x["score"] for k, x in again.items()} == {k: x["score"] for k, x in r.items()}
+
+
+def test_least_hashes_per_tree_are_those_of_all_rows():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"_h": rng.integers(-(2**62), 2**62, 500), "x": list(rng.normal(size=(500, 2)))})
+    whole = pd.concat(anomaly._least([frame], 6, 40, 42))
+    parts = pd.concat([p for part in range(3) for p in anomaly._least([frame.iloc[part * 170 : part * 170 + 90], frame.iloc[part * 170 + 90 : part * 170 + 170]], 6, 40, 42)])
+    key = lambda h: np.asarray(h, np.int64).view(np.uint64)
+    for t in range(6):
+        best = sorted(key(parts[parts.tree == t]["_h"]))[:40]
+        assert best == sorted(key(whole[whole.tree == t]["_h"]))
+    assert len({tuple(x) for t in range(6) for x in whole[whole.tree == t]["x"]}) > 150  # trees differ
 
 
 def test_profile_drift_and_validation(spark):
