@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shipsight.operators import (
-    actions, address, anomaly, behaviour, bridge, cleaning, customer, datasets, evaluate, forecast, grouping, insights, pricing, product, quality, risk, scoring, trend,
+    actions, address, anomaly, behaviour, bridge, cleaning, customer, datasets, evaluate, forecast, grouping, insights, pricing, product, quality, risk, scoring, smoothing, trend,
 )
 from shipsight.sources import io
 
@@ -333,7 +333,7 @@ def test_croston_family(spark):
 
 def test_ets_follows_a_line(spark):
     s = spark.createDataFrame([("t", [float(10 + 2 * i) for i in range(24)]), ("flat", [5.0] * 24)], "k string, v array<double>")
-    r = rows(forecast.ets(s, ["k"], h=2))
+    r = rows(smoothing.ets(s, ["k"], h=2))
     t = [x for x in r if x["k"] == "t" and x["step"] == 2][0]
     assert t["forecast"] == pytest.approx(10 + 2 * 25, rel=0.05) and t["direction"] == "up"
     assert [x["direction"] for x in r if x["k"] == "flat"] == ["flat", "flat"]
