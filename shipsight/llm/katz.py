@@ -1,11 +1,12 @@
 """Katz backoff language model: Good-Turing discounted bigrams, exactly normalised backoff weights.
 
 Texts become blocks of word numbers that are written once. Counting and scoring exchange packed number arrays between
-blocks and hash buckets of n-grams, so each n-gram of a block crosses the network once, whatever its frequency:
+blocks and hash buckets of n-grams, so each n-gram of a block crosses the network once each way, whatever its frequency:
 
 1. a block asks the word buckets for its words, which answer with ids and training counts;
-2. it sends its bigrams, with their documents, to the bigram buckets: a table with one row a bucket, written once;
-3. these give counts of counts, then each bucket evaluates its bigrams and returns partial sums per document.
+2. it asks the bigram buckets for its bigrams, which answer with training counts, and with what backoff weights need for
+   the histories that have unseen words there; these answers are written once, and counts of counts beside them;
+3. each block evaluates its bigrams. Documents and sums never leave their block.
 
 There are as many buckets as blocks at least (and as shuffle partitions), so that no bucket holds more than about a block's
 share of the tokens. A history with more than a quarter of a mean bucket's
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settle import discard, settle
+from ..functions.settle import settle
 from .text import filled, from_driver, slices, small_batches, to_tasks
 
 #: Counts above are not discounted.
@@ -156,7 +157,8 @@ class Model:
         self.total = self.tokens if 0 < held < self.tokens else self.tokens + 1
         self.unknown = 1 - held / self.total if self.tokens else 1.0
         self.d2 = np.ones(TRUSTED + 1)
-        self.spread: dict[int, tuple[float, float]] = {}
+        #: Spread histories by number, their followers by count, sums of their followers' unigrams.
+        self.spread = np.zeros(0, np.uint64), np.zeros((0, TRUSTED), np.int64), np.zeros(0)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.d1[np.minimum(c, TRUSTED)] ** (c <= TRUSTED) * c / self.total, self.unknown)
@@ -169,14 +171,23 @@ class Model:
         more = mixed(w).astype(np.int64) % np.minimum(self.pieces(ch), self.n_buckets)
         return (mixed(h).astype(np.int64) + more) % self.n_buckets
 
-    def backoff(self, ch: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Denominator and backoff weight of histories from their discounted follower counts and lower-order sums.
+    def bigram(self, h: np.ndarray, ch: np.ndarray, cw: np.ndarray, c: np.ndarray, histories: list[list[np.ndarray]]) -> np.ndarray:
+        """P(w | h) from the counts of history, word and pair, and the histories' own followers by count and unigram sums.
 
-        A history whose followers all go undiscounted gets one more count for the rest; an unseen one backs off fully.
+        A history whose followers all go undiscounted gets one more count for the rest; an unseen one backs off fully. One
+        that is not among `histories` has a discounted follower, and no unseen one here.
         """
-        total = np.where(seen < ch - 1e-9, ch, ch + 1.0)
-        rest = 1 - lower
-        return total, np.where(ch > 0, (1 - seen / np.maximum(total, 1)) / np.maximum(rest, 1e-12), 1.0)
+        own = np.r_[np.concatenate([x[0] for x in histories]), self.spread[0]]
+        small = np.concatenate([*(x[1].reshape(TRUSTED, -1).T for x in histories), self.spread[1]]).astype(np.int64)
+        lower = np.r_[np.concatenate([x[2].view(np.float64) for x in histories]), self.spread[2]]
+        order = np.argsort(own)
+        own, small, lower = np.r_[own[order], np.uint64(2**64 - 1)], np.r_[small[order], small[:0].sum(0, keepdims=True)], np.r_[lower[order], 0.0]
+        at = np.searchsorted(own, h)
+        here = (own[at] == h) & (ch > 0)
+        total = np.maximum(ch + (here & ~small.any(1)[at]), 1)
+        taken = (small @ (np.arange(1, TRUSTED + 1) * (1 - self.d2[1:])))[at] + total - ch  # what unseen words share
+        alpha = np.where(ch > 0, taken / total / np.maximum(1 - lower[at], 1e-12), 1.0)
+        return np.where(c > 0, c * self.d2[np.minimum(c, TRUSTED)] ** (c <= TRUSTED) / total, alpha * self.unigram(cw))
 
 
 def _joined(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,45 +202,33 @@ def _plain(model: Model, toks: np.ndarray, lens: np.ndarray, count: np.ndarray)
     return np.add.reduceat((count > 0)[toks].astype(np.int64), starts), np.add.reduceat(base[toks], starts)
 
 
-def _bigrams(model: Model, block: str, toks: np.ndarray, lens: np.ndarray, train: np.ndarray, gid: np.ndarray, count: np.ndarray) -> list[tuple]:
-    """The block's distinct bigrams for each bucket: histories, words, training counts, and the documents that hold them."""
+def _bigrams(model: Model, toks: np.ndarray, lens: np.ndarray, gid: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The place of each token's bigram among the block's distinct ones, and these by bucket, history and word: bucket, h, w, training counts of both."""
     start = len(gid)  # the history of first tokens
-    prev = np.empty(len(toks), np.int64)
-    prev[1:] = toks[:-1]
-    prev[np.cumsum(lens) - lens] = start
-    prev *= start + 1
-    prev += toks
-    order = np.argsort(prev, kind="stable").astype(np.int32)  # tokens are in document order, and stay so inside a bigram
-    key, doc = prev[order], np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order]
-    del prev, order
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    entry = np.flatnonzero(new_key | np.r_[True, doc[1:] != doc[:-1]])
-    mult, doc = np.diff(np.r_[entry, len(key)]).astype(np.int32), doc[entry]
-    heads = np.flatnonzero(new_key[entry])
-    uniq = key[entry[heads]]
-    del key, new_key
-    sizes = np.diff(np.r_[heads, len(entry)]).astype(np.int32)
-    trained = np.add.reduceat(mult * train[doc], heads)
+    key = np.empty(len(toks), np.int64)
+    key[1:] = toks[:-1]
+    key[np.cumsum(lens) - lens] = start
+    key *= start + 1
+    key += toks
+    uniq, place = np.unique(key, return_inverse=True)
+    del key
     hl, wl = uniq // (start + 1), uniq % (start + 1)
     h, w, ch, cw = np.r_[gid, np.uint64(0)][hl], gid[wl], np.r_[count, model.docs][hl], count[wl]
-    del uniq, hl, wl, entry
     bucket = model.bucket(h, w, ch)
     by = np.lexsort((w, h, bucket))
-    moved = np.repeat(heads[by] - np.r_[0, np.cumsum(sizes[by])[:-1]], sizes[by]) + np.arange(len(doc))
-    doc, mult = doc[moved], mult[moved]
-    del moved
-    h, w, ch, cw, trained, sizes = (x[by] for x in (h, w, ch, cw, trained, sizes))
-    cuts = np.searchsorted(bucket[by], np.arange(model.n_buckets + 1))
-    ends = np.r_[0, np.cumsum(sizes)]
-    rows = []
-    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-        if i < j:
-            e = slice(ends[i], ends[j])
-            rows.append((b, block, [pack(h[i:j], True), pack(w[i:j]), pack(ch[i:j]), pack(cw[i:j]), pack(trained[i:j]), pack(sizes[i:j] - 1), pack(doc[e]), pack(mult[e] - 1)]))
-    return rows
+    moved = np.empty_like(by)
+    moved[by] = np.arange(len(by))
+    return moved[place], bucket[by], h[by], w[by], ch[by], cw[by]
+
+
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
 
 
 def _send(sent) -> Callable:
+    """Each block's distinct bigrams for each bucket: histories with their counts and numbers of words, then words, their counts and the bigrams' in training."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("blobs", pa.list_(pa.binary()))])
         model = from_driver(sent)
@@ -237,9 +236,15 @@ def _send(sent) -> Callable:
             for r in batch.to_pylist():
                 gid, count = _joined(r["answers"])
                 toks, lens, train = unpack(r["toks"]).astype(np.int32), unpack(r["lens"]).astype(np.int64), unpack(r["train"]).astype(bool)
-                known, base = _plain(model, toks, lens, count)
-                yield from table([(-1 - int(xxhash.xxh32_intdigest(r["block"])) % model.n_buckets, r["block"], [r["ids"], r["nulls"], r["lens"], r["train"], pack(known), base.tobytes()])], schema)
-                yield from table(_bigrams(model, r["block"], toks, lens, train, gid, count), schema)
+                place, bucket, h, w, ch, cw = _bigrams(model, toks, lens, gid, count)
+                trained = np.bincount(place[np.repeat(train, lens)], minlength=len(h))
+                cw = np.where(trained > 0, cw, 0)  # only words that follow in training weigh
+                cuts = np.r_[_changes(bucket), len(bucket)]
+                rows = []
+                for i, j in zip(cuts, cuts[1:]):
+                    heads = _changes(h[i:j])
+                    rows.append((int(bucket[i]), r["block"], [pack(h[i:j][heads], True), pack(ch[i:j][heads]), pack(np.diff(np.r_[heads, j - i]) - 1), pack(w[i:j]), pack(cw[i:j]), pack(trained[i:j])]))
+                yield from table(rows, schema)
 
     return run
 
@@ -249,32 +254,48 @@ def _short(a: np.ndarray) -> np.ndarray:
 
 
 def merged(asks: list[dict]) -> tuple[np.ndarray, ...]:
-    """The bucket's distinct bigrams by history: h, w, training counts of both words and the pair; and where each ask's bigrams are."""
-    h, w, ch, cw, c = (np.concatenate([unpack(x["blobs"][i]) if i < 2 else _short(unpack(x["blobs"][i])) for x in asks]) for i in range(5))
+    """The bucket's distinct bigrams by history: h, training counts of the history, the word and the pair; where each asked bigram is among them; where each ask begins."""
+    sizes = [unpack(x["blobs"][2]).astype(np.int64) + 1 for x in asks]
+    h, ch = (np.concatenate([np.repeat(_short(unpack(x["blobs"][i])), n) for x, n in zip(asks, sizes)]) for i in range(2))
+    w, cw, c = (np.concatenate([unpack(x["blobs"][i]) if i == 3 else _short(unpack(x["blobs"][i])) for x in asks]) for i in range(3, 6))
+    h = h.astype(np.uint64)
     order = np.lexsort((w, h)) if max(h.max(), w.max()) >> np.uint64(32) else np.argsort((h << np.uint64(32)) | w)
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])]
+    h, w = h[order], w[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
     heads = np.flatnonzero(new)
     back = np.empty(len(h), np.int32)
     back[order] = np.cumsum(new, dtype=np.int32) - 1
-    at = order[heads]
-    return h[at], w[at], ch[at].astype(np.int64), cw[at].astype(np.int64), np.add.reduceat(c[order].astype(np.int64), heads), back
+    counted = np.add.reduceat(c[order].astype(np.int64), heads)
+    return h[heads], ch[order[heads]].astype(np.int64), np.maximum.reduceat(cw[order], heads).astype(np.int64), counted, back, np.cumsum([0, *(n.sum() for n in sizes)])
 
 
-def _tell(sent) -> Callable:
-    """Of each bucket: counts of counts; and of its spread histories, followers by count and sums for the backoff weight."""
+def _reply(sent) -> Callable:
+    """To each block the counts of its bigrams, in order; and the followers by count and their unigram sum of histories with
+    an unseen word there, or without any follower that is discounted. Rows without a block: the bucket's counts of counts,
+    and the same figures of its part of the spread histories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("ch", pa.int64()), ("small", pa.list_(pa.int64())), ("large", pa.int64()), ("lower", pa.float64())])
+        schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("blobs", pa.list_(pa.binary())), ("h", pa.int64()), ("small", pa.list_(pa.int64())), ("lower", pa.float64())])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
-                h, _, ch, cw, c, _ = merged(r["asks"])
-                rows: list[tuple] = [(-1, 0, np.bincount(np.minimum(c, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2].tolist(), 0, 0.0)]
-                for i in np.unique(h[(model.pieces(ch) > 1) & (c > 0)]).tolist():
-                    lo, hi = np.searchsorted(h, [i, i + 1])
-                    fc = c[lo:hi]
-                    small = np.bincount(np.minimum(fc, TRUSTED + 1), minlength=TRUSTED + 2)[1 : TRUSTED + 1].tolist()
-                    rows.append((i, int(ch[lo]), [*small, 0], int(fc[fc > TRUSTED].sum()), float(model.unigram(cw[lo:hi])[fc > 0].sum())))
+                h, ch, cw, c, back, starts = merged(r["asks"])
+                heads = _changes(h)
+                group = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.r_[heads, len(h)]))
+                lower = np.add.reduceat(np.where(c > 0, model.unigram(cw), 0.0), heads)
+                small = np.stack([np.add.reduceat((c == i).astype(np.int64), heads) for i in range(1, TRUSTED + 1)], 1)
+                h, ch = h[heads], ch[heads]
+                spread = model.pieces(ch) > 1
+                rows: list[tuple] = [(None, r["bucket"], None, -1, np.bincount(np.minimum(c, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2].tolist(), 0.0)]
+                rows += [(None, r["bucket"], None, int(h[g]), [*small[g].tolist(), 0], float(lower[g])) for g in np.flatnonzero(spread).tolist()]
+                whole = ~spread & (ch > 0) & ~small.any(1)
+                for x, i, j in zip(r["asks"], starts, starts[1:]):
+                    counts, own = c[back[i:j]], group[back[i:j]]
+                    unseen = np.zeros(len(h), bool)
+                    unseen[own[counts == 0]] = True
+                    unseen &= ~spread & (ch > 0)
+                    of = np.unique(own[unseen[own] | whole[own]])
+                    rows.append((x["block"], r["bucket"], [pack(counts), pack(h[of], True), pack(small[of].T.reshape(-1)), pack(np.where(unseen[of], lower[of], 0.0).view(np.uint64))], None, None, None))
                 yield from table(rows, schema)
 
     return run
@@ -282,46 +303,19 @@ def _tell(sent) -> Callable:
 
 def _evaluate(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("sums", pa.binary())])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
-                h, _, ch, cw, c, back = merged(r["asks"])
-                p1 = model.unigram(cw)
-                heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(h)]))
-                kept = c * model.d2[np.minimum(c, TRUSTED)] ** (c <= TRUSTED)
-                seen, lower = np.add.reduceat(kept, heads), np.add.reduceat(np.where(c > 0, p1, 0.0), heads)
-                for g in np.flatnonzero(model.pieces(ch[heads]) > 1).tolist():
-                    seen[g], lower[g] = model.spread.get(int(h[heads[g]]), (0.0, 0.0))
-                total, alpha = model.backoff(ch[heads], seen, lower)
-                logp = np.log10(np.where(c > 0, kept / np.maximum(total[group], 1e-300), alpha[group] * p1))
-                at = 0
-                rows = []
-                for x in r["asks"]:
-                    sizes, docs, mult = unpack(x["blobs"][5]).astype(np.int64) + 1, unpack(x["blobs"][6]).astype(np.int64), unpack(x["blobs"][7]).astype(float) + 1
-                    own = back[at : at + len(sizes)]
-                    at += len(sizes)
-                    sums = np.bincount(docs, np.repeat(logp[own], sizes) * mult)
-                    some = np.flatnonzero(sums)
-                    rows.append((x["block"], pack(some, True), sums[some].tobytes()))
-                yield from table(rows, schema)
-
-    return run
-
-
-def _finish(tokens: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, nulls, lens, train, known, base = r["blobs"]
-                lens = unpack(lens).astype(np.int64)
-                score = np.zeros(len(lens))
-                for part in r["parts"]:
-                    score[unpack(part["docs"]).astype(np.int64)] += np.frombuffer(part["sums"])
+                gid, count = _joined(r["answers"])
+                toks, lens = unpack(r["toks"]).astype(np.int32), unpack(r["lens"]).astype(np.int64)
+                known, base = _plain(model, toks, lens, count)
+                place, _, h, _, ch, cw = _bigrams(model, toks, lens, gid, count)
+                blobs = [x["blobs"] for x in sorted(r["replies"], key=lambda x: x["bucket"])]
+                c = np.concatenate([unpack(x[0]) for x in blobs]).astype(np.int64)
+                logp = np.log10(model.bigram(h, ch, cw, c, [[unpack(y) for y in x[1:]] for x in blobs]))
                 yield pa.record_batch([
-                    pa.array(np.frombuffer(zstandard.decompress(ids), np.int64), mask=unpack(nulls).astype(bool)), pa.array(unpack(train) == 0), pa.array(lens), pa.array(unpack(known).astype(np.int64)),
-                    pa.array(np.full(len(lens), tokens)), pa.array(np.frombuffer(base)), pa.array(score),
+                    pa.array(np.frombuffer(zstandard.decompress(r["doc_ids"]), np.int64), mask=unpack(r["nulls"]).astype(bool)), pa.array(unpack(r["train"]) == 0), pa.array(lens), pa.array(known),
+                    pa.array(np.full(len(lens), model.tokens)), pa.array(base), pa.array(np.add.reduceat(logp[place], np.cumsum(lens) - lens)),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -342,7 +336,8 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark)
     # Bucketed by block, so that blocks stay where they are when the answers come.
-    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(2 ** max(4, (tasks - 1).bit_length()), "block"))
+    places = 2 ** max(4, (tasks - 1).bit_length())
+    blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(places, "block"))
     bits = max(4, (max(tasks, blocks.count()) - 1).bit_length())  # a bucket holds about as much as a block, at any size
     n = 2**bits
     asks = blocks.select("block", "hashes", "counts").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
@@ -350,28 +345,21 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     stats = words.filter("block IS NULL").select(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(TRUSTED + 4)]).first()
     model = Model(list(stats), n)
 
+    # Dealt as the blocks are, answers cross the network once; no block holds so much that its list should be made in parts.
+    answers = words.filter("block IS NOT NULL").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("answers"))
+    told = blocks.withColumnRenamed("ids", "doc_ids").join(answers, "block")
     sent = to_tasks(spark, model)
-    answers = words.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("answers"))
-    bigrams = (
-        blocks.drop("hashes", "counts").withColumnRenamed("ids", "doc_ids").join(answers, "block")
-        .select("block", F.col("doc_ids").alias("ids"), "nulls", "lens", "train", "toks", "answers")
-        .mapInArrow(_send(sent), "bucket long, block string, blobs array<binary>")
-    )
-    buckets = settle(bigrams.groupBy("bucket").agg(F.collect_list(F.struct("block", "blobs")).alias("asks")))
-    discard(blocks)
-    told = (
-        buckets.filter("bucket >= 0").mapInArrow(_tell(sent), "h long, ch long, small array<long>, large long, lower double")
-        .groupBy("h").agg(F.max("ch").alias("ch"), *[F.sum(F.col("small")[i]).alias(f"n{i}") for i in range(TRUSTED + 1)], F.sum("large").alias("large"), F.sum("lower").alias("lower"))
+    bigrams = told.select("block", "lens", "train", "toks", "answers").mapInArrow(_send(sent), "bucket long, block string, blobs array<binary>")
+    replies = settle(bigrams.groupBy("bucket").agg(F.collect_list(F.struct("block", "blobs")).alias("asks")).mapInArrow(_reply(sent), "block string, bucket long, blobs array<binary>, h long, small array<long>, lower double"))
+    sums = (
+        replies.filter("block IS NULL").groupBy("h").agg(*[F.sum(F.col("small")[i]).alias(f"n{i}") for i in range(TRUSTED + 1)], F.sum("lower").alias("lower")).orderBy("h")
     ).collect()  # at most four histories a bucket
-    for r in told:
-        if r["h"] == -1:
-            model.d2 = discounts([r[f"n{i}"] for i in range(TRUSTED + 1)])
-    for r in told:
-        if r["h"] >= 0:
-            model.spread[r["h"]] = (sum(r[f"n{i}"] * (i + 1) * model.d2[i + 1] for i in range(TRUSTED)) + r["large"], r["lower"])
-
-    sums = buckets.filter("bucket >= 0").mapInArrow(_evaluate(to_tasks(spark, model)), "block string, docs binary, sums binary").groupBy("block").agg(F.collect_list(F.struct("docs", "sums")).alias("parts"))
-    heads = buckets.filter("bucket < 0").select(F.explode("asks").alias("a")).select("a.block", "a.blobs")
-    return heads.join(sums, "block").select("blobs", "parts").mapInArrow(
-        _finish(model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    for r in sums[:1]:  # h = -1
+        model.d2 = discounts([r[f"n{i}"] for i in range(TRUSTED + 1)])
+    spread = sums[1:]
+    model.spread = np.array([r["h"] for r in spread], np.uint64), np.array([[r[f"n{i}"] for i in range(TRUSTED)] for r in spread], np.int64).reshape(-1, TRUSTED), np.array([r["lower"] for r in spread], float)
+
+    heard = replies.filter("block IS NOT NULL").select("block", "bucket", "blobs").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "blobs")).alias("replies"))
+    return told.join(heard, "block").select("doc_ids", "nulls", "lens", "train", "toks", "answers", "replies").mapInArrow(
+        _evaluate(to_tasks(spark, model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
