@@ -8,8 +8,8 @@ blocks and hash buckets of n-grams, so each n-gram of a block crosses the networ
    the histories that have unseen words there; these answers are written once, and counts of counts beside them;
 3. each block evaluates its bigrams. Documents and sums never leave their block.
 
-There are as many buckets as blocks at least (and as shuffle partitions), so that no bucket holds more than about a block's
-share of the tokens. A history with more than a quarter of a mean bucket's
+There is a bucket for every four blocks at least (and for every shuffle partition), so that no bucket holds more than about
+four blocks' share of the bigrams, while messages stay long. A history with more than a quarter of a mean bucket's
 tokens is spread over several buckets; the few sums that its backoff weight needs (at most four histories a bucket) are
 added up and broadcast.
 """
@@ -37,25 +37,53 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_CHARS = 6_000_000
 
 
-def pack(a: np.ndarray, rising: bool = False) -> bytes:
-    """Unsigned numbers in as few byte planes as they need, compressed; rising ones as differences."""
+#: Arrays of fewer bytes together share a compressed frame.
+SMALL = 16_384
+
+
+def planes(a: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned numbers in as few byte planes as they need; rising ones as differences."""
     a = np.ascontiguousarray(a, np.uint64)
     if rising and len(a):
         a = np.diff(a, prepend=np.uint64(0))
     size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :size].T)
-    return bytes([size, rising]) + zstandard.compress(planes.tobytes(), 3)
+    return bytes([size, rising]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def unpack(b: bytes) -> np.ndarray:
+def numbers(b: bytes) -> np.ndarray:
     size, rising = b[0], b[1]
-    planes = np.frombuffer(zstandard.decompress(b[2:]), np.uint8).reshape(size, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :size] = planes.T
+    rows = np.frombuffer(b, np.uint8, offset=2).reshape(size, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, :size] = rows.T
     a = out.view(np.uint64).reshape(-1)
     return np.cumsum(a, dtype=np.uint64) if rising else a
 
 
+def pack(a: np.ndarray, rising: bool = False) -> bytes:
+    return zstandard.compress(planes(a, rising), 3)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return numbers(zstandard.decompress(b))
+
+
+def bundle(first: np.ndarray, *others: np.ndarray) -> bytes:
+    """Several arrays in one, the first of rising numbers. In short ones a frame for each would outweigh the numbers."""
+    parts = [planes(first, True), *map(planes, others)]
+    few = sum(map(len, parts)) < SMALL
+    if not few:
+        parts = [zstandard.compress(x, 3) for x in parts]
+    body = np.array([len(x) for x in parts], np.uint32).tobytes() + b"".join(parts)
+    return bytes([few, len(parts)]) + (zstandard.compress(body, 3) if few else body)
+
+
+def unbundle(b: bytes) -> list[np.ndarray]:
+    few, n = b[0], b[1]
+    body = zstandard.decompress(b[2:]) if few else b[2:]
+    ends = np.cumsum([4 * n, *np.frombuffer(body, np.uint32, n)]).tolist()
+    return [(numbers if few else unpack)(body[i:j]) for i, j in zip(ends, ends[1:])]
+
+
 def mixed(a: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         a = (a ^ (a >> np.uint64(31))) * MIX
@@ -171,17 +199,17 @@ class Model:
         more = mixed(w).astype(np.int64) % np.minimum(self.pieces(ch), self.n_buckets)
         return (mixed(h).astype(np.int64) + more) % self.n_buckets
 
-    def bigram(self, h: np.ndarray, ch: np.ndarray, cw: np.ndarray, c: np.ndarray, histories: list[list[np.ndarray]]) -> np.ndarray:
-        """P(w | h) from the counts of history, word and pair, and the histories' own followers by count and unigram sums.
+    def bigram(self, h: np.ndarray, ch: np.ndarray, cw: np.ndarray, c: np.ndarray, own: tuple, small: tuple, lower: tuple) -> np.ndarray:
+        """P(w | h) from the counts of history, word and pair, and each bucket's histories with their followers by count and unigram sums.
 
         A history whose followers all go undiscounted gets one more count for the rest; an unseen one backs off fully. One
-        that is not among `histories` has a discounted follower, and no unseen one here.
+        that is in none of `own` has a discounted follower, and no unseen one here.
         """
-        own = np.r_[np.concatenate([x[0] for x in histories]), self.spread[0]]
-        small = np.concatenate([*(x[1].reshape(TRUSTED, -1).T for x in histories), self.spread[1]]).astype(np.int64)
-        lower = np.r_[np.concatenate([x[2].view(np.float64) for x in histories]), self.spread[2]]
+        own = np.concatenate([*own, self.spread[0]])
+        small = np.concatenate([*(x.reshape(TRUSTED, -1).T for x in small), self.spread[1]]).astype(np.int64)
+        lower = np.concatenate([*(x.view(np.float64) for x in lower), self.spread[2]])
         order = np.argsort(own)
-        own, small, lower = np.r_[own[order], np.uint64(2**64 - 1)], np.r_[small[order], small[:0].sum(0, keepdims=True)], np.r_[lower[order], 0.0]
+        own, small, lower = np.r_[own[order], np.uint64(2**64 - 1)], np.r_[small[order], np.zeros((1, TRUSTED), np.int64)], np.r_[lower[order], 0.0]
         at = np.searchsorted(own, h)
         here = (own[at] == h) & (ch > 0)
         total = np.maximum(ch + (here & ~small.any(1)[at]), 1)
@@ -230,7 +258,7 @@ def _send(sent) -> Callable:
     """Each block's distinct bigrams for each bucket: histories with their counts and numbers of words, then words, their counts and the bigrams' in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("blobs", pa.list_(pa.binary()))])
+        schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("arrays", pa.binary())])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
@@ -243,7 +271,7 @@ def _send(sent) -> Callable:
                 rows = []
                 for i, j in zip(cuts, cuts[1:]):
                     heads = _changes(h[i:j])
-                    rows.append((int(bucket[i]), r["block"], [pack(h[i:j][heads], True), pack(ch[i:j][heads]), pack(np.diff(np.r_[heads, j - i]) - 1), pack(w[i:j]), pack(cw[i:j]), pack(trained[i:j])]))
+                    rows.append((int(bucket[i]), r["block"], bundle(h[i:j][heads], ch[i:j][heads], np.diff(np.r_[heads, j - i]) - 1, w[i:j], cw[i:j], trained[i:j])))
                 yield from table(rows, schema)
 
     return run
@@ -255,9 +283,11 @@ def _short(a: np.ndarray) -> np.ndarray:
 
 def merged(asks: list[dict]) -> tuple[np.ndarray, ...]:
     """The bucket's distinct bigrams by history: h, training counts of the history, the word and the pair; where each asked bigram is among them; where each ask begins."""
-    sizes = [unpack(x["blobs"][2]).astype(np.int64) + 1 for x in asks]
-    h, ch = (np.concatenate([np.repeat(_short(unpack(x["blobs"][i])), n) for x, n in zip(asks, sizes)]) for i in range(2))
-    w, cw, c = (np.concatenate([unpack(x["blobs"][i]) if i == 3 else _short(unpack(x["blobs"][i])) for x in asks]) for i in range(3, 6))
+    parts = [unbundle(x["arrays"]) for x in asks]
+    sizes = [x[2].astype(np.int64) + 1 for x in parts]
+    h, ch = (np.concatenate([np.repeat(_short(x[i]), n) for x, n in zip(parts, sizes)]) for i in range(2))
+    w, cw, c = (np.concatenate([x[i] if i == 3 else _short(x[i]) for x in parts]) for i in range(3, 6))
+    del parts
     h = h.astype(np.uint64)
     order = np.lexsort((w, h)) if max(h.max(), w.max()) >> np.uint64(32) else np.argsort((h << np.uint64(32)) | w)
     h, w = h[order], w[order]
@@ -275,7 +305,7 @@ def _reply(sent) -> Callable:
     and the same figures of its part of the spread histories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("blobs", pa.list_(pa.binary())), ("h", pa.int64()), ("small", pa.list_(pa.int64())), ("lower", pa.float64())])
+        schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("arrays", pa.binary()), ("h", pa.int64()), ("small", pa.list_(pa.int64())), ("lower", pa.float64())])
         model = from_driver(sent)
         for batch in batches:
             for r in batch.to_pylist():
@@ -295,7 +325,7 @@ def _reply(sent) -> Callable:
                     unseen[own[counts == 0]] = True
                     unseen &= ~spread & (ch > 0)
                     of = np.unique(own[unseen[own] | whole[own]])
-                    rows.append((x["block"], r["bucket"], [pack(counts), pack(h[of], True), pack(small[of].T.reshape(-1)), pack(np.where(unseen[of], lower[of], 0.0).view(np.uint64))], None, None, None))
+                    rows.append((x["block"], r["bucket"], bundle(h[of], small[of].T.reshape(-1), np.where(unseen[of], lower[of], 0.0).view(np.uint64), counts), None, None, None))
                 yield from table(rows, schema)
 
     return run
@@ -310,9 +340,8 @@ def _evaluate(sent) -> Callable:
                 toks, lens = unpack(r["toks"]).astype(np.int32), unpack(r["lens"]).astype(np.int64)
                 known, base = _plain(model, toks, lens, count)
                 place, _, h, _, ch, cw = _bigrams(model, toks, lens, gid, count)
-                blobs = [x["blobs"] for x in sorted(r["replies"], key=lambda x: x["bucket"])]
-                c = np.concatenate([unpack(x[0]) for x in blobs]).astype(np.int64)
-                logp = np.log10(model.bigram(h, ch, cw, c, [[unpack(y) for y in x[1:]] for x in blobs]))
+                *histories, c = zip(*(unbundle(x["arrays"]) for x in sorted(r["replies"], key=lambda x: x["bucket"])))
+                logp = np.log10(model.bigram(h, ch, cw, np.concatenate(c).astype(np.int64), *histories))
                 yield pa.record_batch([
                     pa.array(np.frombuffer(zstandard.decompress(r["doc_ids"]), np.int64), mask=unpack(r["nulls"]).astype(bool)), pa.array(unpack(r["train"]) == 0), pa.array(lens), pa.array(known),
                     pa.array(np.full(len(lens), model.tokens)), pa.array(base), pa.array(np.add.reduceat(logp[place], np.cumsum(lens) - lens)),
@@ -338,7 +367,7 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     # Bucketed by block, so that blocks stay where they are when the answers come.
     places = 2 ** max(4, (tasks - 1).bit_length())
     blocks = settle(docs.select("doc_id", filled(f"`{text}`").alias("body"), usable.alias("train")).mapInArrow(_blocks, BLOCKS), buckets=(places, "block"))
-    bits = max(4, (max(tasks, blocks.count()) - 1).bit_length())  # a bucket holds about as much as a block, at any size
+    bits = max(4, (max(tasks, blocks.count() // 4) - 1).bit_length())  # a bucket holds about as much as four blocks at most, at any size
     n = 2**bits
     asks = blocks.select("block", "hashes", "counts").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
     words = settle(asks.groupBy("bucket").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("asks")).mapInArrow(_answer(n), "block string, bucket long, ids binary, counts binary, stats array<long>"))
@@ -349,8 +378,8 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     answers = words.filter("block IS NOT NULL").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("answers"))
     told = blocks.withColumnRenamed("ids", "doc_ids").join(answers, "block")
     sent = to_tasks(spark, model)
-    bigrams = told.select("block", "lens", "train", "toks", "answers").mapInArrow(_send(sent), "bucket long, block string, blobs array<binary>")
-    replies = settle(bigrams.groupBy("bucket").agg(F.collect_list(F.struct("block", "blobs")).alias("asks")).mapInArrow(_reply(sent), "block string, bucket long, blobs array<binary>, h long, small array<long>, lower double"))
+    bigrams = told.select("block", "lens", "train", "toks", "answers").mapInArrow(_send(sent), "bucket long, block string, arrays binary")
+    replies = settle(bigrams.groupBy("bucket").agg(F.collect_list(F.struct("block", "arrays")).alias("asks")).mapInArrow(_reply(sent), "block string, bucket long, arrays binary, h long, small array<long>, lower double"))
     sums = (
         replies.filter("block IS NULL").groupBy("h").agg(*[F.sum(F.col("small")[i]).alias(f"n{i}") for i in range(TRUSTED + 1)], F.sum("lower").alias("lower")).orderBy("h")
     ).collect()  # at most four histories a bucket
@@ -359,7 +388,7 @@ def score(docs: DataFrame, usable: Column, text: str = "text") -> DataFrame:
     spread = sums[1:]
     model.spread = np.array([r["h"] for r in spread], np.uint64), np.array([[r[f"n{i}"] for i in range(TRUSTED)] for r in spread], np.int64).reshape(-1, TRUSTED), np.array([r["lower"] for r in spread], float)
 
-    heard = replies.filter("block IS NOT NULL").select("block", "bucket", "blobs").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "blobs")).alias("replies"))
+    heard = replies.filter("block IS NOT NULL").select("block", "bucket", "arrays").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "arrays")).alias("replies"))
     return told.join(heard, "block").select("doc_ids", "nulls", "lens", "train", "toks", "answers", "replies").mapInArrow(
         _evaluate(to_tasks(spark, model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
