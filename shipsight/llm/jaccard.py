@@ -190,16 +190,18 @@ class Group:
         _, flat = np.unique(np.concatenate(members), return_inverse=True)
         self.starts = np.r_[0, np.cumsum(self.n)]
         self.tokens = flat
-        self.holders = np.repeat(np.arange(len(members)), self.n)[np.argsort(flat, kind="stable")]
+        self.holders = np.repeat(np.arange(len(members), dtype=np.int32), self.n)[np.argsort(flat, kind="stable")]
         self.offsets = np.r_[0, np.cumsum(np.bincount(flat))]
         self.label = np.unique(labels, return_inverse=True)[1]
 
     def overlaps(self, a: int) -> np.ndarray:
         """Sizes of the intersections of one set with all."""
         t = self.tokens[self.starts[a] : self.starts[a + 1]]
-        lo, size = self.offsets[t], self.offsets[t + 1] - self.offsets[t]
-        at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.bincount(self.holders[at], minlength=len(self.n))
+        t = t[self.offsets[t + 1] - self.offsets[t] > 1]
+        held = [self.holders[i:j] for i, j in zip(self.offsets[t].tolist(), self.offsets[t + 1].tolist())]
+        both = np.bincount(np.concatenate(held), minlength=len(self.n)) if held else np.zeros(len(self.n), np.int64)
+        both[a] = self.n[a]
+        return both
 
     def linked(self, a: int) -> np.ndarray:
         both = self.overlaps(a)
@@ -212,14 +214,6 @@ class Group:
             self.label[np.isin(self.label, old)] = old[0]
 
     def link(self) -> np.ndarray:
-        # Leaders first: in a group of near copies, one comparison joins nearly all of it.
-        single, led = np.bincount(self.label)[self.label] == 1, np.zeros(len(self.n), bool)
-        for a in range(len(self.n)):
-            if single[a] and not led[a]:
-                hit = self.linked(a)
-                hit[a] = True
-                led |= hit
-                self.unite(np.flatnonzero(hit))
         if len(np.unique(self.label)) > 1:
             self.traverse()
         return self.label
@@ -229,7 +223,8 @@ class Group:
 
         Rows are ordered by label and size and cut into leaves; a node has the union and the intersection of its bitmaps, its
         size range, and its label if it has one. A bit of a set that is missing in the other's union stands for at least one
-        shingle outside the intersection, which bounds the overlap from above; the size range bounds what is needed.
+        shingle outside the intersection, which bounds the overlap from above; the size range bounds what is needed. Pairs of
+        rows that the tree leaves are compared in full, unless links found before have joined them.
         """
         order = np.lexsort((self.n, self.label))
         bits = (self.tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BITS)
@@ -262,8 +257,10 @@ class Group:
                 ok = (a < size) & (b < size) & ((i != j).repeat(width * width) | (a <= b))
                 stack.append((depth - 1, a[ok], b[ok]))
                 continue
-            for x in np.unique(i).tolist():
-                if not done[x]:
+            by = np.argsort(i, kind="stable")
+            own, at = np.unique(i[by], return_index=True)
+            for x, others in zip(own.tolist(), np.split(j[by], at[1:])):
+                if not done[x] and (self.label[order[others[~done[others]]]] != self.label[order[x]]).any():
                     hit = np.flatnonzero(self.linked(order[x]))
                     self.unite(np.r_[order[x], hit])
                     done[x] = True
@@ -350,6 +347,8 @@ def link_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "
     bits = ((blocks.agg(F.sum("held")).first()[0] or 0) // bucket).bit_length()
     asks = blocks.select("block", "hashes").mapInArrow(_ask(bits), "bucket long, block string, hashes binary, counts binary")
     told = asks.groupBy("bucket").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("asks")).mapInArrow(_answer, "block string, bucket long, hashes binary, counts binary")
+    # Few buckets are written by few tasks, whatever the number of partitions.
+    told = told.coalesce(max(spark.sparkContext.defaultParallelism, 4 << bits))
     answers = settle(told).groupBy("block").agg(F.collect_list(F.struct("bucket", "hashes", "counts")).alias("answers"))
 
     sent = blocks.select("block", "keys", "sizes", "hashes", "owners").join(answers, "block").mapInArrow(_spread(n_buckets, percent), "bucket long, hashes binary, at binary, keys binary, sizes binary")

@@ -13,7 +13,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from shipsight.llm import bpe, exact_dedup, jaccard, katz, pii, quality, secrets, toxicity, url_rules, winnow
+from shipsight.functions.settle import settle
+from shipsight.llm import bpe, components, exact_dedup, jaccard, katz, pii, quality, secrets, toxicity, url_rules, winnow
 from pyspark.sql import functions as F
 from tools.check import norm
 
@@ -159,6 +160,30 @@ def test_jaccard(spark, docs, none, group):
         assert jaccard.link_groups(none).count() == 0
 
 
+def test_components_join_whole_graphs_in_few_steps(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "settle", lambda df: written.append(settle(df)) or written[-1])
+    rng = random.Random(6)
+    path = [(i, i + 1) for i in range(500)]
+    sparse = [(rng.randrange(1000, 1600), rng.randrange(1000, 1600)) for _ in range(350)]
+    hub = [(2000, 2000 + i) for i in range(1, 400)]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in path + sparse + hub + hub[:50]]
+    rng.shuffle(edges)
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(root.items())
+    written.clear()
+    hub = components.components(spark.createDataFrame(hub, "a long, b long").repartition(16))
+    assert {tuple(r) for r in hub.collect()} == {(2000 + i, 2000) for i in range(400)} and hub.count() == 400
+    # Stars are known as such at once, and written by as many tasks as the machine has cores.
+    assert len(written) == 3 and len(hub.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_signature_tree_finds_every_link():
     rng = random.Random(5)
     members = [jaccard.np.array(sorted(rng.sample(range(40), rng.randint(20, 36))), dtype="uint64") for _ in range(120)]
