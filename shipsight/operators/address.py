@@ -27,21 +27,40 @@ def cleaned(address: Column, prefixes: list[str]) -> Column:
     return text
 
 
-def pieces(addresses: DataFrame, lengths: Column, sign: int) -> DataFrame:
-    """All pieces of the texts that have one of the lengths, with their place and the few letters on either side."""
-    text, longest = F.col("text"), F.array_max(lengths)
+#: A place table of more rows is joined by sorting.
+BROADCAST_PLACES = 100_000
+
+
+def pieces(addresses: DataFrame, lengths: Column) -> DataFrame:
+    """All pieces of the texts that have one of the lengths, with where they begin."""
+    text = F.col("text")
     starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    before = lambda at: F.substr(text, F.greatest(at - longest - 1, F.lit(1)), F.least(at - 1, longest + 1))
-    piece = lambda at, n: F.struct(at.alias("at"), F.substr(text, at, n).alias("piece"), before(at).alias("before"), F.substr(text, at + n, F.lit(sign)).alias("next"))
+    piece = lambda at, n: F.struct(at.alias("at"), F.substr(text, at, n).alias("piece"))
     cut = F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda at: piece(at, n))))
-    return addresses.select("key", "headed", F.explode(cut).alias("p")).select("key", "headed", "p.*")
+    return addresses.select("key", "headed", "text", F.explode(cut).alias("p")).select("key", "headed", "text", "p.*")
+
+
+def hits(addresses: DataFrame, places: DataFrame, sign: int) -> DataFrame:
+    """The pieces that are places, with the few letters on either side.
+
+    Pieces are many times the addresses, which Spark's estimate of their size doesn't know: without a hint it sends them all
+    through the driver. So the places travel, or both sides are sorted where the places are many.
+    """
+    lengths = places.agg(F.collect_set(F.length("place"))).scalar()
+    many = places.limit(BROADCAST_PLACES + 1).count() > BROADCAST_PLACES
+    cut = pieces(addresses.withColumn("lengths", lengths), F.col("lengths"))
+    found = cut.join(places.hint("merge" if many else "broadcast"), F.col("piece") == F.col("place"))
+    longest = places.agg(F.max(F.length("place"))).scalar()
+    text, at = F.col("text"), F.col("at")
+    return found.withColumn("longest", longest).withColumns({
+        "before": F.substr(text, F.greatest(at - F.col("longest") - 1, F.lit(1)), F.least(at - 1, F.col("longest") + 1)),
+        "next": F.substr(text, at + F.length("place"), F.lit(sign)),
+    })
 
 
 def matched(addresses: DataFrame, places: DataFrame, city_sign: str) -> DataFrame:
     """Addresses with the first place under each rule, as structs of (order, place); cities as an array."""
-    lengths = places.agg(F.collect_set(F.length("place"))).scalar()
-    cut = pieces(addresses.withColumn("lengths", lengths), F.col("lengths"), len(city_sign))
-    hits = cut.join(places, F.col("piece") == F.col("place"))
+    found = hits(addresses, places, len(city_sign))
     size, head = F.length("place"), F.col("at") == 1
     signed, region = F.col("next") == city_sign, F.col("region")
     after = F.endswith("before", region) | F.endswith("before", F.concat(region, F.lit("省")))
@@ -49,7 +68,7 @@ def matched(addresses: DataFrame, places: DataFrame, city_sign: str) -> DataFram
     ranked, longest = F.struct("rank", *place), F.struct((-size).alias("size"), "rank", *place)
     is_rule = lambda name: F.col("rule") == name
     city = is_rule(CITY) & (head | signed)
-    return hits.groupBy("key").agg(
+    return found.groupBy("key").agg(
         F.coalesce(F.bool_or(is_rule(JUNK)), F.lit(False)).alias("junk"),
         F.collect_set(F.when(is_rule(TERMS), F.struct("rank", "place", "region", "sub", "abroad"))).alias("terms"),
         F.min(F.when(is_rule(FULL) & head, ranked)).alias("full"),
@@ -85,6 +104,8 @@ def resolve(
     """
     addresses = df.select(F.col(col).alias("address")).distinct().withColumn("text", cleaned(F.col("address"), list(prefixes)))
     addresses = addresses.withColumns({"headed": F.regexp_extract("text", r"^(\S{1,5}?)省", 1), "key": F.sha2(F.coalesce("address", F.lit("")), 256)})
+    # By a number of its own: few bytes make much work here, so that small partitions must not be put together.
+    addresses = addresses.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     m = addresses.join(matched(addresses, places, city_sign), "key", "left")
     needed = places.filter(F.col("rule") == TERMS).groupBy("rank").agg(F.count("*").alias("n"))
     needed = needed.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("rank", "n"))), F.create_map().cast("map<int,bigint>"))).scalar()

@@ -103,3 +103,17 @@ def test_without_places_and_long_texts(spark):
 def test_full_names(spark, short, full):
     row = spark.range(1).select(address.full_name(F.lit(short), {"内蒙古": "内蒙古自治区"}, ["广东", "内蒙古"], ["北京"]).alias("x"))
     assert row.first().x == full
+
+
+def test_pieces_do_not_travel_through_the_driver(spark, monkeypatch):
+    """The pieces of the addresses are never the broadcast side, and a table of many places gives the same rows by sorting."""
+    texts = [c[0] for c in CASES]
+    df = spark.createDataFrame([(t,) for t in texts], "address string")
+    places = spark.createDataFrame(ROWS, address.PLACES)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    few = address.resolve(df, places, patterns=PATTERNS, prefixes=PREFIXES)
+    assert re.search(r"BroadcastHashJoin \[piece#\d+\], \[place#\d+\], Inner, BuildRight", plan(few))
+    monkeypatch.setattr(address, "BROADCAST_PLACES", len(ROWS) - 1)
+    many = address.resolve(df, places, patterns=PATTERNS, prefixes=PREFIXES)
+    assert re.search(r"SortMergeJoin \[piece#\d+\], \[place#\d+\], Inner", plan(many))
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
